@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strataweave.llm import mixing_query, secrets_query
+from strataweave.llm import mixing_query, secrets_query, sharding_query
 
 QUERIES = {}
 ORACLES = {}
 
-for _module in (mixing_query, secrets_query):
+for _module in (secrets_query, mixing_query, sharding_query):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
