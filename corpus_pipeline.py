@@ -1,7 +1,68 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and gets all that its predecessor kept.
+Stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataweave.llm import jaccard, mil, mixing, packing, pii
+from strataweave.llm.packing_query import tokenizer_path
+from strataweave.session import read_table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return mil.good_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id; documents without words all stay."""
+    groups = jaccard.near_duplicates(docs)
+    kept = groups.filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("__kept"), F.col("n_shingles").alias("__n")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")))
+    empty = out.filter("__n = 0").select(*docs.columns)
+    # repeated rows of the kept id are copies of one document
+    return out.filter("__n > 0").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(empty)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced; n_chars counts the new text."""
+    out = pii.with_surrogates(docs)
+    return out.withColumn("n_chars", F.when(F.col("__pii_n") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents and their sequences."""
+    out = packing.pack_documents(docs, tokenizer_path())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII surrogates", surrogates),
+    ("mixing to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+#: Model scores, surrogates and token ids are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = written(docs, f"stage-{n}")
+    return docs
