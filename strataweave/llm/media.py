@@ -303,3 +303,36 @@ def read_payload(media: Column) -> Column:
 def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Adds the container of each whole text (null: empty) as a binary column."""
     return df.withColumn(media, store_media(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+#: Bytes of the containers that one output batch may hold, or one row.
+OUT_BYTES = 4 << 20
+
+
+def stored_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One pass: key, n_bytes, media, m (the media columns), and payload, read back from the container.
+
+    Same as ``with_media``, ``media_columns`` and ``read_payload`` one after
+    another, with no more than ``OUT_BYTES`` of containers held at a time.
+    """
+    fields = [df.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("m", MEDIA), T.StructField("payload", T.BinaryType())]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.name for f in fields])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for ident, raw in zip(batch.column(0), batch.column(1)):
+                raw = raw.as_py() or b""
+                media = container(padded(raw))
+                rows.append((ident.as_py(), len(raw), media, described(media), payload(media)))
+                size += len(media)
+                if size > OUT_BYTES:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+    return df.select(key, F.col(text).cast("binary").alias("__raw")).mapInArrow(store, T.StructType(fields))

@@ -11,9 +11,7 @@ from strataweave.session import read_table
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a container, read back, and its media columns."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    stored = media.with_media(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "media")
-    seen = stored.select("*", media.media_columns(F.col("media")).alias("m"), media.read_payload(F.col("media")).alias("payload"))
+    seen = media.stored_media(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     track = F.col("m.tracks")[0]
     ranges = F.array_join(F.transform(track["keyframes"], lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return seen.select(
