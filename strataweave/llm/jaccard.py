@@ -3,13 +3,14 @@
 A document is the set of its distinct word n-grams.  Two documents link when
 their Jaccard similarity is at least 75 in 100.
 
-One pass over the texts numbers the words, hashes the n-grams to 56 bits and
-finds equal sets, which are one node.  The sorted hashes go in delta-coded
-blocks to the tasks of their hash ranges, which find the n-grams that more than
-one node holds.  Only these can be shared, so they alone are postings from here
-on: an n-gram that one node holds stands first in the rare-first order and can
-match nothing.  An n-gram that repeats within a task is known to repeat, so its
-postings skip that exchange, and a very common one sends one mark a task.
+One pass over the texts numbers the words, hashes the n-grams (64 bits to tell
+them apart in a document, 48 between documents) and finds equal sets, which are
+one node.  The sorted hashes go in delta-coded blocks to the tasks of their hash
+ranges, which count how many nodes hold each n-gram.  Those that several hold
+are postings from here on: an n-gram that one node holds stands first in the
+rare-first order and can match nothing.  An n-gram that ``HOT`` nodes of one task
+hold is common for certain: it stands last in the order, its postings skip that
+exchange and spread evenly, and its range gets one mark a task.
 
 Per node its shared n-grams are sorted rare first.  With ``n`` n-grams the
 prefix has ``n - ceil(0.75 n) + 1``; most nodes have so many n-grams of their
@@ -44,14 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm import graph, words
-from strataweave.session import written
+from strataweave.session import forget, written
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: N-grams a task gathers before it sorts and sends them, and text bytes per hash range.
 GATHERED = 4_000_000
 RANGE_BYTES = 8 << 20
-HASH_BITS = 56
+HASH_BITS = 48
 BITMAP_LONGS = 8
 #: Lists longer than this are paired in parts.
 LIST = 2048
@@ -82,7 +83,7 @@ def ngram_hashes(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
             nxt = np.zeros(len(w), np.uint64)
             nxt[:-k or None] = w[k:] if k < len(w) else 0
             h = np.where(left > k, h * _P + nxt, h)
-        h = _mix(h + np.minimum(left, n).astype(np.uint64) * _M1) >> np.uint64(64 - HASH_BITS)
+        h = _mix(h + np.minimum(left, n).astype(np.uint64) * _M1)
     whole = (left >= n) | ((np.arange(len(w)) == at[row]) if len(w) else False)
     row, h = row[whole], h[whole]
     order = np.lexsort((h, row))
@@ -114,9 +115,9 @@ def _decoded(data: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-#: An owner that stands for several nodes of a task.
-MANY = 0xFFFFFFFF
-#: kind 0: a document (id, its node); 1: a node (digest, n, bitmap); 2: n-grams and their owners; 3: postings.
+#: Nodes of one task that make an n-gram common, its place in the rare-first order, and the owner that marks it.
+HOT, LAST, MARK = 8, 1 << 40, 0xFFFF
+#: kind 0: a document (id, its node); 1: a node (digest, n, bitmap); 2: n-grams and their owners; 3: postings of common n-grams.
 SENT = "__to long, __kind byte, __node long, doc_id {kind}, __digest binary, __n long, __bits array<long>, __grams binary, __owners binary"
 FOUND = "__kind byte, __node long, doc_id {kind}, __digest binary, __n long, __bits array<long>, __gram long"
 
@@ -131,13 +132,14 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         nodes: dict[bytes, int] = {}
+        base = task << 32  # owners count from here, in two bytes
         grams: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         size, spread = 0, task * 7919
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size, spread
-            if not grams:
+            if not size:
                 return
             g, o = np.concatenate(grams), np.concatenate(owners)
             grams.clear()
@@ -145,23 +147,25 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
             size = 0
             order = np.argsort(g, kind="stable")
             g, o = g[order], o[order]
-            same = np.zeros(len(g) + 1, bool)
-            same[1:-1] = g[1:] == g[:-1]
-            twice, first = same[:-1] | same[1:], ~same[:-1]
-            # what repeats here is shared for certain: its postings go anywhere, one mark goes to its range
-            for a in range(0, int(twice.sum()), 200_000):
-                some = slice(a, a + 200_000)
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            runs = np.diff(np.append(starts, len(g)))
+            common = np.repeat(runs >= HOT, runs)
+            hot_g, hot_o = g[common], o[common]
+            for a in range(0, len(hot_g), 100_000):
+                some = slice(a, a + 100_000)
                 spread += 1
-                yield rows(1, __to=pa.array([spread % ranges]), __kind=pa.array([3]), __node=pa.array([task << 32]), __grams=pa.array([_coded(g[twice][some])]), __owners=pa.array([o[twice][some].tobytes()]))
-            o = np.where(twice, np.uint32(MANY), o)[first]
-            g = g[first]
+                yield rows(1, __to=pa.array([spread % ranges]), __kind=pa.array([3]), __node=pa.array([base]), __grams=pa.array([_coded(hot_g[some])]), __owners=pa.array([hot_o[some].tobytes()]))
+            first = np.zeros(len(g), bool)
+            first[starts] = True
+            o = np.where(common, np.uint16(MARK), o)
+            g, o = g[~common | first], o[~common | first]
             to = ((g >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
             cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(g)]))
             to, blocks = to[cut[:-1]].astype(np.int64), list(zip(cut[:-1], cut[1:]))
             for a in range(0, len(blocks), 64):
                 some = blocks[a : a + 64]
                 k = len(some)
-                yield rows(k, __to=pa.array(to[a : a + k]), __kind=pa.array([2] * k), __node=pa.array([task << 32] * k), __grams=pa.array([_coded(g[x:y]) for x, y in some]), __owners=pa.array([o[x:y].tobytes() for x, y in some]))
+                yield rows(k, __to=pa.array(to[a : a + k]), __kind=pa.array([2] * k), __node=pa.array([base] * k), __grams=pa.array([_coded(g[x:y]) for x, y in some]), __owners=pa.array([o[x:y].tobytes() for x, y in some]))
 
         for batch in batches:
             for start, texts in words.chunks(batch.column(1)):
@@ -178,8 +182,11 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
                     if digest not in nodes:
                         nodes[digest] = (task << 32) | len(nodes)
                         new.append((nodes[digest], digest, len(mine), bitmap(mine).tolist()))
-                        grams.append(mine)
-                        owners.append(np.full(len(mine), len(nodes) - 1, np.uint32))
+                        if nodes[digest] - base >= MARK:
+                            yield from flush()
+                            base = nodes[digest]
+                        grams.append(mine >> np.uint64(64 - HASH_BITS))
+                        owners.append(np.full(len(mine), nodes[digest] - base, np.uint16))
                         size += len(mine)
                     own.append(nodes[digest])
                 spread += 1
@@ -190,37 +197,43 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
                     yield rows(k, __to=pa.array([spread % ranges] * k), __kind=pa.array([1] * k), __node=pa.array(node), __digest=pa.array(digest, pa.binary()), __n=pa.array(count), __bits=pa.array(bits))
                 if size >= GATHERED:
                     yield from flush()
+                    base = (task << 32) | len(nodes)
         yield from flush()
 
     return send
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """One range: documents and nodes as they came, and the postings of the n-grams that several nodes hold."""
+    """One range: documents and nodes as they came, and the postings of n-grams that several nodes hold.
+
+    A posting's ``__n`` is the place of its n-gram in the rare-first order: how
+    many nodes hold it, or LAST for one that is common in some task.
+    """
     names = [c.split()[0] for c in FOUND.split(", ")]
     plain = table.filter(pc.less(table.column("__kind"), 2))
     plain = plain.select(names[:-1]).append_column("__gram", pa.nulls(plain.num_rows, pa.int64()))
-    g, node, known = [], [], []
+    parts = []
     for r in table.filter(pc.greater(table.column("__kind"), 1)).select(["__kind", "__node", "__grams", "__owners"]).to_pylist():
-        x, o = _decoded(r["__grams"]), np.frombuffer(r["__owners"], np.uint32)
-        g.append(x)
-        node.append(np.where(o == MANY, -1, o.astype(np.int64) + r["__node"]))
-        known.append(np.full(len(x), r["__kind"] == 3))
-    if not g:
+        o = np.frombuffer(r["__owners"], np.uint16).astype(np.int64)
+        parts.append((_decoded(r["__grams"]), np.where(o == MARK, -1, o + r["__node"]), np.full(len(o), r["__kind"] == 3)))
+    if not parts:
         return plain
-    g, node, known = np.concatenate(g), np.concatenate(node), np.concatenate(known)
-    done_g, done_node = g[known], node[known]
-    g, node = g[~known], node[~known]
+    g, node, done = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
+    done_g, done_node = g[done], node[done]
+    g, node = g[~done], node[~done]
     order = np.argsort(g, kind="stable")
     g, node = g[order], node[order]
-    same = np.zeros(len(g) + 1, bool)
-    same[1:-1] = g[1:] == g[:-1]
-    keep = (same[:-1] | same[1:]) & (node >= 0)
+    starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
+    runs = np.diff(np.append(starts, len(g)))
+    marked = np.logical_or.reduceat(node < 0, starts) if len(g) else np.empty(0, bool)
+    place = np.repeat(np.where(marked, LAST, runs), runs)
+    keep = (place > 1) & (node >= 0)
+    place = np.concatenate([np.full(len(done_g), LAST), place[keep]])
     g, node = np.concatenate([done_g, g[keep]]), np.concatenate([done_node, node[keep]])
-    k = len(g)
-    nulls = {f.name: pa.nulls(k, f.type) for f in plain.schema}
-    nulls |= {"__kind": pa.array(np.full(k, 3, np.int8)), "__node": pa.array(node), "__gram": pa.array(g.astype(np.int64))}
-    return pa.concat_tables([plain, pa.table([nulls[x] for x in plain.schema.names], schema=plain.schema)])
+    columns = {f.name: pa.nulls(len(g), f.type) for f in plain.schema}
+    columns |= {"__kind": pa.array(np.full(len(g), 3, np.int8)), "__node": pa.array(node), "__n": pa.array(place), "__gram": pa.array(g.astype(np.int64))}
+    return pa.concat_tables([plain, pa.table([columns[x] for x in plain.schema.names], schema=plain.schema)])
 
 
 def _grouped(f):
@@ -265,14 +278,18 @@ def _least(n):
 
 
 def sets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, rep) of all nodes, and per rep its n, bitmap and shared n-grams, rare first."""
+    """(node, rep) of all nodes, and per rep its n, bitmap and shared n-grams, rare first.
+
+    Nodes of equal sets in several tasks are one class; only the postings of
+    its rep are used, so what only they share matches nothing later.
+    """
     nodes = found.filter("__kind = 1").select(F.col("__node").alias("node"), F.col("__digest").alias("digest"), F.col("__n").alias("n"), F.col("__bits").alias("bits"))
     reps = nodes.groupBy("digest").agg(F.min("node").alias("rep"), F.min_by("n", "node").alias("n"), F.min_by("bits", "node").alias("bits"))
     names = written(nodes.select("node", "digest").join(reps.select("digest", "rep"), "digest").select("node", "rep"), "jaccard-nodes")
-    own = found.filter("__kind = 3").select(F.col("__node").alias("node"), F.col("__gram").alias("gram"))
-    own = own.join(names.filter("node = rep"), "node").select("rep", "gram").distinct()
-    df = own.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    grams = own.join(df, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("x"))
+    copies = written(names.filter("node <> rep").select("node"), "jaccard-copies")
+    own = found.filter("__kind = 3").select(F.col("__node").alias("node"), F.col("__n").alias("place"), F.col("__gram").alias("gram"))
+    own = own.join(copies, "node", "left_anti")
+    grams = own.groupBy(F.col("node").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("place", "gram"))).alias("x"))
     grams = grams.select("rep", F.col("x.gram").alias("grams"))
     return names, written(reps.select("rep", "n", "bits").join(grams, "rep"), "jaccard-sets")
 
@@ -349,6 +366,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, text: str = "text", key:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     found = postings(docs, n, text, key)
     names, rows = sets(found)
+    own = written(found.filter("__kind = 0").select("doc_id", F.col("__node").alias("node"), F.col("__n").alias("n_shingles")), "jaccard-own")
+    forget(found)  # the postings are in ``rows`` now
     entries = written(prefixes(rows), "jaccard-prefixes")
     tried = written(star_pairs(entries), "jaccard-stars")
     edges = written(verified(tried, rows), "jaccard-links")
@@ -358,7 +377,6 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, text: str = "text", key:
     if not more.isEmpty():
         joined = written(graph.components(edges.unionByName(more)), "jaccard-components")
     of = names.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    own = found.filter("__kind = 0").select(F.col("doc_id"), F.col("__node").alias("node"), F.col("__n").alias("n_shingles"))
     full = written(own.filter("node is not null").join(of, "node").select("doc_id", "n_shingles", "component"), "jaccard-documents")
     least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     empty = own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
