@@ -1,2 +1,46 @@
 """Queries over encoded chunk files."""
-from strataweave.plans.registry import query  # noqa: F401
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataweave.functions import identity
+from strataweave.operators import importing
+from strataweave.plans.content import DOCS, RECORD
+from strataweave.plans.registry import query
+from strataweave.session import read_table
+from strataweave.sources import chunks
+
+TARGET = 32768
+
+
+def chunk_files(spark, sf_dir, codec: str = "raw"):
+    """The documents packed into sealed chunk files, rotated per source."""
+    payload = F.coalesce("text", F.lit("")).cast("binary")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", payload.alias("payload"))
+    docs = docs.withColumn("record_length", identity.record_length(F.octet_length("payload")))
+    return chunks.build(importing.rotate(docs, "source", "doc_id", "record_length", TARGET), "source", "chunk", "doc_id", "payload", codec=codec)
+
+
+@query("record_roundtrip", f"""
+with recursive d as (select source, doc_id, cid, size, sha256('blob') as x, {RECORD} as n, row_number() over (partition by source order by doc_id) as i from {DOCS}),
+r as (select source, doc_id, cid, size, n, i, 0::bigint as chunk, 64::bigint as at_byte from d where i = 1
+  union all select d.source, d.doc_id, d.cid, d.size, d.n, d.i, case when r.at_byte + r.n + d.n + 64 > {TARGET} then r.chunk + 1 else r.chunk end,
+    case when r.at_byte + r.n + d.n + 64 > {TARGET} then 64 else r.at_byte + r.n end from r join d on d.source = r.source and d.i = r.i + 1)
+select source || '/' || printf('%020d', chunk) || '.sealed' as path, at_byte as record_offset, n as record_length, size as raw_length, cid, cid as payload_cid from r""")
+def record_roundtrip(spark, sf_dir):
+    """Encode, seal, scan strictly, decode: every record comes back where it was put."""
+    out = chunks.scan(chunk_files(spark, sf_dir))
+    return out.select("path", F.col("offset").alias("record_offset"), "record_length", "raw_length", F.lower(F.hex("content_id")).alias("cid"), identity.content_id(F.col("payload")).alias("payload_cid"))
+
+
+@query("chunk_corruption_report")
+def chunk_corruption_report(spark, sf_dir):
+    """Reports of files of which some are cut off, some have a flipped byte, some lost their seal."""
+    files = chunk_files(spark, sf_dir, codec="zstd")
+    n = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(4))
+    size = F.octet_length("content")
+    flipped = F.concat(F.substring("content", 1, 200), F.unhex(F.lit("FF")), F.substring(F.col("content"), F.lit(202), size))
+    damaged = F.when(n == 1, F.substring(F.col("content"), F.lit(1), size - 100)).when(n == 2, flipped).otherwise(F.col("content"))
+    name = F.when(n == 0, F.col("path")).otherwise(F.replace("path", F.lit(".sealed"), F.lit(".open")))
+    return chunks.reports(files.select(name.alias("path"), damaged.alias("content")))
