@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 def inventory(spark, root: str) -> DataFrame:
     """relative, bytes, sha256 of every file below a folder of any Hadoop store."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.split("://")[-1].rstrip("/") + "/")
-    at = F.substring_index(F.col("path"), base, -1)
+    at = F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1)
     return files.select(at.alias("relative"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -112,34 +112,34 @@ def encode_records(records: list[Record]) -> list[bytes]:
     return out
 
 
-def decode_header(data: bytes) -> tuple[Record, int]:
-    """A record without its payload, and the stored length."""
-    if len(data) < RECORD_HEADER:
+def _outline(data: bytes, at: int) -> tuple[Record, int, str | None, str | None]:
+    """The header's fields, and the first structural rule broken before and after the header's checksum."""
+    if len(data) - at < RECORD_HEADER:
         raise FormatError("truncated")
-    magic, version, length, kind, codec, flags, raw, size, cid, algorithm, oid_length, oid, crc, rest = _RECORD.unpack_from(data)
-    checks = (
-        (magic == RECORD_MAGIC, "magic"), (version == VERSION, "version"), (length == RECORD_HEADER, "header length"),
-        (crc == crc32c(data[:94] + bytes(4) + data[98:RECORD_HEADER]), "header checksum"), (not any(rest), "reserved bytes"),
-        (kind in KINDS.values(), "kind"), (codec in CODECS.values(), "codec"), ({1: 20, 2: 32}.get(algorithm) == oid_length, "object id"),
-    )
-    for good, what in checks:
-        if not good:
-            raise FormatError(what)
-    return Record(kind, codec, flags, raw, cid, algorithm, oid[:oid_length], b""), size
+    magic, version, length, kind, codec, flags, raw, size, cid, algorithm, oid_length, oid, _, rest = _RECORD.unpack_from(data, at)
+    before = ((magic == RECORD_MAGIC, "magic"), (version == VERSION, "version"), (length == RECORD_HEADER, "header length"))
+    after = ((not any(rest), "reserved bytes"), (kind in KINDS.values(), "kind"), (codec in CODECS.values(), "codec"), ({1: 20, 2: 32}.get(algorithm) == oid_length, "object id"))
+    first = lambda checks: next((what for good, what in checks if not good), None)
+    return Record(kind, codec, flags, raw, cid, algorithm, oid[:oid_length], b""), size, first(before), first(after)
+
+
+def _summed_header(data: bytes, at: int) -> bytes:
+    return data[at : at + 94] + bytes(4) + data[at + 98 : at + RECORD_HEADER]
 
 
-def decode_record(data: bytes, at: int = 0) -> tuple[Record, int]:
-    """The record at ``at`` and its whole length."""
-    record, size = decode_header(data[at : at + RECORD_HEADER])
+def decode_record(data: bytes, at: int = 0, end: int | None = None) -> tuple[Record, int]:
+    """The record at ``at`` and its whole length; an error names the first rule it breaks."""
+    end = len(data) if end is None else end
+    record, size, before, after = _outline(data[:end] if end - at < RECORD_HEADER else data, at)
+    good = int.from_bytes(data[at + 94 : at + 98], "big") == crc32c(_summed_header(data, at))
     total = RECORD_HEADER + size + RECORD_FOOTER
-    if total > MAX_RECORD:
-        raise FormatError("record too long")
-    if at + record_length(size) > len(data):
-        raise FormatError("truncated")
+    what = before or (None if good else "header checksum") or after or ("record too long" if total > MAX_RECORD else None) or ("truncated" if at + record_length(size) > end else None)
+    if what:
+        raise FormatError(what)
     record.payload = bytes(data[at + RECORD_HEADER : at + RECORD_HEADER + size])
-    crc, length, end = _FOOTER.unpack_from(data, at + total - RECORD_FOOTER)
+    crc, length, mark = _FOOTER.unpack_from(data, at + total - RECORD_FOOTER)
     for good, what in (
-        (length == total, "record length"), (end == END_MAGIC, "footer magic"), (crc == crc32c(record.payload), "payload checksum"),
+        (length == total, "record length"), (mark == END_MAGIC, "footer magic"), (crc == crc32c(record.payload), "payload checksum"),
         (not any(data[at + total : at + record_length(size)]), "padding"),
     ):
         if not good:
@@ -147,6 +147,40 @@ def decode_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     return record, record_length(size)
 
 
+def decode_many(data: bytes, start: int, end: int) -> tuple[list[tuple[int, Record]], int, str | None]:
+    """All whole records of data[start:end] up to the first bad one, where they end, and what is wrong there.
+
+    Lengths are followed first, then the checksums of all records are computed
+    together, and the record that breaks a rule is decoded alone for its error.
+    """
+    found, spans, at = [], [], start
+    while end - at >= RECORD_HEADER:
+        record, size, before, after = _outline(data, at)
+        whole = record_length(size)
+        if before or after or RECORD_HEADER + size + RECORD_FOOTER > MAX_RECORD or at + whole > end:
+            break
+        record.payload = bytes(data[at + RECORD_HEADER : at + RECORD_HEADER + size])
+        found.append((at, record))
+        spans.append((at, size, whole))
+        at += whole
+    sums = crc32c_many([_summed_header(data, a) for a, _, _ in spans] + [r.payload for _, r in found])
+    n = len(found)
+    for i, (a, size, whole) in enumerate(spans):
+        total = RECORD_HEADER + size + RECORD_FOOTER
+        crc, length, mark = _FOOTER.unpack_from(data, a + total - RECORD_FOOTER)
+        head = int.from_bytes(data[a + 94 : a + 98], "big")
+        if (head, crc, length, mark) != (int(sums[i]), int(sums[n + i]), total, END_MAGIC) or any(data[a + total : a + whole]):
+            found, at = found[:i], a
+            break
+    if at >= end:
+        return found, at, None
+    try:
+        decode_record(data, at, end)
+    except FormatError as why:
+        return found, at, str(why)
+    raise AssertionError("a record is good alone and bad among others")
+
+
 def chunk_header(generation: int, chunk_id: int, created: int = 0, flags: int = 0) -> bytes:
     head = _CHUNK.pack(CHUNK_MAGIC, VERSION, CHUNK_HEADER, generation, chunk_id, created, flags, 0, b"")
     return head[:36] + crc32c(head).to_bytes(4, "big") + head[40:]
@@ -210,21 +244,19 @@ def scan_file(data: bytes, sealed: bool, strict: bool, verify: bool = False) ->
     cuts off.
     """
     decode_chunk_header(data[:CHUNK_HEADER])
-    out = Scan(sealed=sealed)
     stop = len(data) - SEAL if sealed else len(data)
-    while out.end < stop:
-        try:
-            record, length = decode_record(data[:stop] if sealed else data, out.end)
-            if verify:
+    found, end, error = decode_many(data, CHUNK_HEADER, stop)
+    out = Scan(len(found), end, sealed, error)
+    for i, (at, record) in enumerate(found):
+        if verify:
+            try:
                 restored(record)
-        except FormatError as why:
-            if strict:
-                raise
-            out.error = str(why)
-            break
-        yield out.end, record
-        out.end += length
-        out.records += 1
+            except FormatError as why:
+                out.records, out.end, out.error = i, at, str(why)
+                break
+        yield at, record
+    if out.error and strict:
+        raise FormatError(out.error)
     if sealed and out.error is None:
         count, final, crc = decode_seal(data[stop:])
         for good, what in ((count == out.records, "record count"), (final == len(data), "file length"), (crc == crc32c(data[CHUNK_HEADER:stop]), "records checksum")):
