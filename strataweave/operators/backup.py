@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 
 def inventory(spark, root: str) -> DataFrame:
-    """relative, bytes, sha256 of every file below a folder of any Hadoop store."""
+    """relative, bytes, sha256 of every file below a folder of any Hadoop store.
+
+    Spark's file scan leaves out files of no bytes, so those come from a listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1)
-    return files.select(at.alias("relative"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    base = root.split("://")[-1].rstrip("/") + "/"
+    rows = files.select(F.substring_index("path", base, -1).alias("relative"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    empty = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString().split(base, 1)[1],))
+    nothing = spark.createDataFrame(empty, "relative string").withColumns({"bytes": F.lit(0).cast("long"), "sha256": F.sha2(F.lit(b""), 256)})
+    return rows.unionByName(nothing)
 
 
 def mismatches(manifest: DataFrame, files: DataFrame, key: str = "relative") -> DataFrame:
