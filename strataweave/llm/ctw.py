@@ -331,8 +331,10 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         block = block.sort_by("__at")
         low = _lowered(block.column("text").combine_chunks())
         low = low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
-        is_word = values.column("__word").to_numpy()
-        i, v = values.column("__i").to_numpy(), values.column("value").to_numpy()
+        if values.num_rows:
+            is_word, i, v = (values.column(c).to_numpy() for c in ("__word", "__i", "value"))
+        else:  # only empty texts; the table has no columns then
+            is_word, i, v = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0)
         dictionary, codes, at = words.numbered(low, lower=False)
         counts = np.zeros(len(dictionary))
         counts[i[is_word]] = v[is_word]

@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strataweave.session import written
 
@@ -64,9 +65,9 @@ def integer_vectors(table: DataFrame, vector: str, key: str, is_query: Column, s
     return written(rows.withColumn("__row", F.monotonically_increasing_id()), "vectors")
 
 
-def _matrix(packed: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(packed: list[bytes], width: int) -> np.ndarray:
     out = np.zeros((len(packed), width), np.int64)
-    for i, x in enumerate(packed.to_pylist()):
+    for i, x in enumerate(packed):
         v = np.frombuffer(x, "<i8")
         out[i, : len(v)] = v
     return out
@@ -144,24 +145,27 @@ def top_k(table: DataFrame, k: int = 5, vector: str = "embedding", key: str = "v
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = rows.select(_blocks("__row", n_blocks).alias("__c"), each(q_blocks).alias("__q"), "__row", "__id", "__vec")
     left = rows.filter("__query").select(each(n_blocks).alias("__c"), _blocks("__row", q_blocks).alias("__q"), "__row", "__id", "__vec")
+    # one column each, so that no plan drops a part of what the search reads
+    left, right = (side.select("__c", "__q", F.struct("__row", "__id", "__vec").alias(name)) for side, name in ((left, "__asked"), (right, "__there")))
+
+    kind, arrow = table.schema[key].dataType.simpleString(), to_arrow_type(table.schema[key].dataType)
 
     def search(asked: pa.Table, there: pa.Table) -> pa.Table:
         out = []
-        if asked.num_rows and there.num_rows:
-            ids = there.column("__id").to_pylist()
+        asked, there = (t.column(c).combine_chunks().flatten() if t.num_rows else None for t, c in ((asked, "__asked"), (there, "__there")))
+        if asked and there:
+            q_rows, q_ids, q_vecs = (c.to_pylist() for c in asked)
+            c_rows, ids, vecs = (c.to_pylist() for c in there)
             rank = np.empty(len(ids), np.int64)
             rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(len(ids))
-            lists = Lists(_matrix(there.column("__vec"), width))
-            place = {r: i for i, r in enumerate(there.column("__row").to_pylist())}
-            rows = asked.column("__row").to_pylist()
-            own = np.array([place.get(r, -1) for r in rows])
-            for r, ident, (found, scores) in zip(rows, asked.column("__id").to_pylist(), lists.top(_matrix(asked.column("__vec"), width), k, own, rank)):
+            lists = Lists(_matrix(vecs, width))
+            place = {r: i for i, r in enumerate(c_rows)}
+            own = np.array([place.get(r, -1) for r in q_rows])
+            for r, ident, (found, scores) in zip(q_rows, q_ids, lists.top(_matrix(q_vecs, width), k, own, rank)):
                 out += [(r, ident, ids[i], int(s)) for i, s in zip(found.tolist(), scores.tolist())]
         columns = list(zip(*out)) or [()] * 4
-        kind = there.schema.field("__id").type
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), kind, kind, pa.int64()))], ["__row", "query_id", key, "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), arrow, arrow, pa.int64()))], ["__row", "query_id", key, "score"])
 
-    kind = table.schema[key].dataType.simpleString()
     found = left.groupBy("__c", "__q").cogroup(right.groupBy("__c", "__q")).applyInArrow(search, f"__row long, query_id {kind}, `{key}` {kind}, score long")
     order = Window.partitionBy("__row").orderBy(F.desc("score"), F.asc_nulls_last(key))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
