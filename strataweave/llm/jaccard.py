@@ -20,10 +20,11 @@ bitmaps of the whole sets (the bits that differ are at most the symmetric
 difference).  Each pair is verified once, exactly, on the shared n-grams.
 
 Pairs in two steps, so that a large group of near copies doesn't give all its
-pairs.  First every prefix n-gram links its nodes to its smallest and largest
-one; the links found give components.  Then, exactly, all pairs of prefix
-n-grams that still span two components, which are those that can change the
-result.  Nothing is capped.
+pairs.  First, in a few turns, every prefix n-gram pairs its nodes with one of
+them, drawn anew each turn; the links found give components, and n-grams inside
+one component drop out.  Then, exactly, all pairs of prefix n-grams that still
+span two components, which are those that can change the result.  Nothing is
+capped.
 
 Defined cases: null texts and texts without words have the empty set and link
 with nothing; fewer words than ``n`` are one n-gram; repeated rows are equal
@@ -56,6 +57,8 @@ HASH_BITS = 48
 BITMAP_LONGS = 8
 #: Lists longer than this are paired in parts.
 LIST = 2048
+#: Turns of stars before all pairs; more turns change only how much is left for those.
+TURNS = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -316,37 +319,45 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     a = light.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("bits").alias("abits"))
     b = light.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
     x = pairs.join(a, "a").join(b, "b")
-    apart = sum((F.bit_count(F.col("abits")[i].bitwiseXOR(F.col("bbits")[i])) for i in range(1, BITMAP_LONGS)), F.bit_count(F.col("abits")[0].bitwiseXOR(F.col("bbits")[0])))
-    # intersection >= 75/175 of both sizes, so at most 25/175 of them differ
-    x = x.filter(apart * (DENOMINATOR + NUMERATOR) <= (F.col("an") + F.col("bn")) * (DENOMINATOR - NUMERATOR)).select("a", "b", "an", "bn")
+    x = x.filter(_near(_apart("abits", "bbits"), F.col("an"), F.col("bn"))).select("a", "b", "an", "bn")
     x = x.join(rows.select(F.col("rep").alias("a"), F.col("grams").alias("ag")), "a").join(rows.select(F.col("rep").alias("b"), F.col("grams").alias("bg")), "b")
     both = F.size(F.array_intersect("ag", "bg"))
     return x.filter(both * DENOMINATOR >= (F.col("an") + F.col("bn") - both) * NUMERATOR).select("a", "b")
 
 
-def star_pairs(entries: DataFrame) -> DataFrame:
-    """Distinct pairs of each n-gram's nodes with its smallest and its largest node."""
-    item = F.struct("rep", "n", "at")
-    ends = entries.groupBy("gram").agg(F.min(item).alias("lo"), F.max(item).alias("hi")).filter("lo.rep < hi.rep")
-    x = entries.join(ends, "gram")
-    out = None
-    for end in ("lo", "hi"):
-        y = x.filter((F.col("rep") != F.col(f"{end}.rep")) & _may(F.col("n"), F.col(f"{end}.n"), F.col("at"), F.col(f"{end}.at")))
-        y = y.select(F.least("rep", f"{end}.rep").alias("a"), F.greatest("rep", f"{end}.rep").alias("b"))
-        out = y if out is None else out.unionByName(y)
-    return out.distinct()
+def _apart(a: str, b: str):
+    """Bits in which two bitmaps differ."""
+    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITMAP_LONGS)]
+    return sum(bits[1:], bits[0])
 
 
-def _named(entries: DataFrame, found: DataFrame) -> DataFrame:
-    c = found.select(F.col("node").alias("rep"), "component")
-    return entries.join(c, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _near(apart, an, bn):
+    # an intersection of 75/175 of both sizes leaves 25/175 of them apart
+    return apart * (DENOMINATOR + NUMERATOR) <= (an + bn) * (DENOMINATOR - NUMERATOR)
 
 
-def rest_pairs(entries: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+def spanning(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Entries with their component, of n-grams that span two components; ``m`` counts the n-gram's entries."""
+    if found is None:
+        named = entries.withColumn("component", F.col("rep"))
+    else:
+        c = found.select(F.col("node").alias("rep"), "component")
+        named = entries.join(c, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    spans = named.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
+    return named.join(spans.filter("x < y").select("gram", "m"), "gram")
+
+
+def star_pairs(some: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs of each n-gram's nodes with one of them, drawn anew for each turn and n-gram."""
+    lot = F.xxhash64("rep", "gram", F.lit(turn))
+    centre = some.groupBy("gram").agg(F.min_by(F.struct("rep", "n", "at", "component"), lot).alias("c"))
+    x = some.join(centre, "gram").filter((F.col("component") != F.col("c.component")) & _may(F.col("n"), F.col("c.n"), F.col("at"), F.col("c.at")))
+    return x.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+
+
+def rest_pairs(some: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct pairs of nodes of two components that share a prefix n-gram, after all filters."""
-    named = _named(entries, found)
-    spans = named.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).filter("x < y").select("gram", "m")
-    some = named.join(spans, "gram").join(rows.select("rep", "bits"), "rep")
+    some = some.join(rows.select("rep", "bits"), "rep")
     # a long list is cut into parts, and every two parts meet once
     parts = F.ceil(F.col("m") / F.lit(LIST)).cast("int")
     some = some.withColumn("__parts", parts).withColumn("__part", F.pmod(F.xxhash64("rep"), F.col("__parts")).cast("int"))
@@ -354,14 +365,43 @@ def rest_pairs(entries: DataFrame, found: DataFrame, rows: DataFrame) -> DataFra
     some = some.withColumns({"__lo": F.least("__part", "__other"), "__hi": F.greatest("__part", "__other")})
     side = lambda s: some.select("gram", "__lo", "__hi", *[F.col(c).alias(s + c) for c in ("rep", "n", "at", "component", "bits", "__part")])
     x = side("a").join(side("b"), ["gram", "__lo", "__hi"])
-    apart = sum((F.bit_count(F.col("abits")[i].bitwiseXOR(F.col("bbits")[i])) for i in range(1, BITMAP_LONGS)), F.bit_count(F.col("abits")[0].bitwiseXOR(F.col("bbits")[0])))
     x = x.filter(
         (F.col("arep") < F.col("brep")) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("__lo") == F.col("__hi")) | (F.col("a__part") != F.col("b__part")))
-        & _may(F.col("an"), F.col("bn"), F.col("aat"), F.col("bat")) & (apart * (DENOMINATOR + NUMERATOR) <= (F.col("an") + F.col("bn")) * (DENOMINATOR - NUMERATOR))
+        & _may(F.col("an"), F.col("bn"), F.col("aat"), F.col("bat")) & _near(_apart("abits", "bbits"), F.col("an"), F.col("bn"))
     )
     return x.select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
 
 
+def linked(entries: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(node, component) of all nodes with a link; None if there is none.
+
+    Turns of stars first, then all pairs that still span two components.
+    """
+    found = tried = None
+    turn = 0
+    while True:
+        last = turn >= TURNS
+        some = written(spanning(entries, found), "jaccard-spanning")
+        pairs = rest_pairs(some, rows) if last else star_pairs(some, turn)
+        if tried is not None:  # each pair is verified once
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "jaccard-pairs")
+        edges = verified(pairs, rows)
+        if found is not None:  # a node stands for its component
+            c = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
+            edges = edges.join(c("a"), "a", "left").join(c("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+        edges = written(edges.distinct(), "jaccard-links")
+        gained = not edges.isEmpty()
+        if gained:
+            known = edges if found is None else edges.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = written(graph.components(known), "jaccard-components")
+        forget(some)
+        if last:
+            return found
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        turn = turn + 1 if gained else TURNS
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     found = postings(docs, n, text, key)
@@ -369,14 +409,11 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, text: str = "text", key:
     own = written(found.filter("__kind = 0").select("doc_id", F.col("__node").alias("node"), F.col("__n").alias("n_shingles")), "jaccard-own")
     forget(found)  # the postings are in ``rows`` now
     entries = written(prefixes(rows), "jaccard-prefixes")
-    tried = written(star_pairs(entries), "jaccard-stars")
-    edges = written(verified(tried, rows), "jaccard-links")
-    joined = written(graph.components(edges), "jaccard-components")
-    more = rest_pairs(entries, joined, rows).join(tried, ["a", "b"], "left_anti")
-    more = written(verified(more, rows), "jaccard-more")
-    if not more.isEmpty():
-        joined = written(graph.components(edges.unionByName(more)), "jaccard-components")
-    of = names.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    joined = linked(entries, rows)
+    if joined is None:
+        of = names.select("node", F.col("rep").alias("component"))
+    else:
+        of = names.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     full = written(own.filter("node is not null").join(of, "node").select("doc_id", "n_shingles", "component"), "jaccard-documents")
     least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     empty = own.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
