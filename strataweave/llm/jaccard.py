@@ -51,8 +51,9 @@ from strataweave.session import forget, written
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: N-grams a task gathers before it sorts and sends them, and text bytes per hash range.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 RANGE_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 HASH_BITS = 48
 BITMAP_LONGS = 8
 #: Lists longer than this are paired in parts.
@@ -171,7 +172,7 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
                 yield rows(k, __to=pa.array(to[a : a + k]), __kind=pa.array([2] * k), __node=pa.array([base] * k), __grams=pa.array([_coded(g[x:y]) for x, y in some]), __owners=pa.array([o[x:y].tobytes() for x, y in some]))
 
         for batch in batches:
-            for start, texts in words.chunks(batch.column(1)):
+            for start, texts in words.chunks(batch.column(1), CHUNK_BYTES):
                 ids = batch.column(0).slice(start, len(texts))
                 row, h = ngram_hashes(texts, n)
                 bounds = np.searchsorted(row, np.arange(len(texts) + 1))

@@ -44,7 +44,7 @@ END = 0
 #: Bands of best-fit decreasing that are told apart; shorter pieces are one band.
 BANDS = 12
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 _TOKENIZERS: dict[str, tuple] = {}
 PUNCTUATION = ".,!?;:"
 
