@@ -141,6 +141,11 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
         owners: list[np.ndarray] = []
         size, spread = 0, task * 7919
 
+        def even(k: int) -> pa.Array:
+            nonlocal spread
+            spread += k
+            return pa.array((spread + np.arange(k)) % ranges)
+
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size, spread
             if not size:
@@ -193,12 +198,11 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
                         owners.append(np.full(len(mine), nodes[digest] - base, np.uint16))
                         size += len(mine)
                     own.append(nodes[digest])
-                spread += 1
-                yield rows(len(texts), __to=pa.array([spread % ranges] * len(texts)), __kind=pa.array([0] * len(texts)), __node=pa.array(own, pa.int64()), doc_id=ids, __n=pa.array(np.diff(bounds)))
+                yield rows(len(texts), __to=even(len(texts)), __kind=pa.array([0] * len(texts)), __node=pa.array(own, pa.int64()), doc_id=ids, __n=pa.array(np.diff(bounds)))
                 if new:
                     node, digest, count, bits = zip(*new)
                     k = len(new)
-                    yield rows(k, __to=pa.array([spread % ranges] * k), __kind=pa.array([1] * k), __node=pa.array(node), __digest=pa.array(digest, pa.binary()), __n=pa.array(count), __bits=pa.array(bits))
+                    yield rows(k, __to=even(k), __kind=pa.array([1] * k), __node=pa.array(node), __digest=pa.array(digest, pa.binary()), __n=pa.array(count), __bits=pa.array(bits))
                 if size >= GATHERED:
                     yield from flush()
                     base = (task << 32) | len(nodes)
