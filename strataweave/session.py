@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_SCRATCH: list[str] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_PATH = "_strataweave_path"
 
 
 def get_spark(app: str = "strataweave", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -67,20 +67,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__[_PATH] = path
+    return out
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the folders of tables from ``written`` that ``df`` reads directly.
+    """Delete the folder of a table that ``written`` returned.
 
-    Call it only when nothing that still has to run depends on them.
+    Call it only when nothing that still has to run depends on it.
     """
-    paths = {p.rsplit("/", 1)[0] for p in df.inputFiles()}
-    for spark, path in list(_WRITTEN):
-        if any(p.endswith(path.rsplit("/", 1)[-1]) for p in paths):
-            _delete(spark, path)
-            _WRITTEN.remove((spark, path))
+    path = df.__dict__.pop(_PATH, None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
