@@ -59,7 +59,7 @@ BITMAP_LONGS = 8
 #: Lists longer than this are paired in parts.
 LIST = 2048
 #: Turns of stars before all pairs; more turns change only how much is left for those.
-TURNS = 4
+TURNS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
