@@ -20,13 +20,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; documents without words all stay."""
-    groups = jaccard.near_duplicates(docs)
-    kept = groups.filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("__kept"), F.col("n_shingles").alias("__n")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")))
+    """One document of each group: the one with the smallest id, null ids last; documents without words all stay.
+
+    A document is its id and its text, so an id may name several texts and null
+    ids are told apart; of rows equal in both one stays.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    # the least key of a component is the document that stays
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("__key"), "text")
+    groups = jaccard.near_duplicates(keyed, key="__key")
+    kept = groups.filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id.id").alias("__kept"), F.col("doc_id.digest").alias("__of"), F.col("n_shingles").alias("__n")).distinct()
+    out = docs.withColumn("__digest", digest)
+    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__of")))
     empty = out.filter("__n = 0").select(*docs.columns)
-    # repeated rows of the kept id are copies of one document
-    return out.filter("__n > 0").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(empty)
+    # what is left of a key are copies of one row
+    return out.filter("__n > 0").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns).unionByName(empty)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,5 +46,18 @@ def test_empty_and_odd_documents(spark):
         assert (now.count() > 0) == (some is docs)
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    """Groups of documents, not of ids, lose all but one row."""
+    text = lambda k, n=40: " ".join(f"{k}w{i}" for i in range(n))
+    near = lambda k: text(k) + " tail"
+    data = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (None, near("c")), (None, ""), (None, None), (None, " ")]
+    data += [(1, text("d")), (1, text("e")), (1, text("e")), (2, near("d")), (None, near("e")), (3, text("f")), (3, near("f")), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "src1", 1) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == COLUMNS
+    said = sorted((str(r.doc_id), (r.text or "").split("w")[0].strip()) for r in got.collect())
+    assert said == sorted([("None", "a"), ("None", "b"), ("None", "c"), ("None", ""), ("None", ""), ("None", ""), ("1", "d"), ("1", "e"), ("3", "f"), ("4", ""), ("4", "")])
+
+
 def test_threshold_is_the_contracts():
     assert mil.THRESHOLD == 0.3
