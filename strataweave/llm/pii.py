@@ -57,6 +57,19 @@ ENDINGS = {
     "greek": {"m": "ς", "f": "λια", "n": "ν", "family": "δης"},
 }
 _NAME = r"[^\W\d_a-zа-яα-ω]\w*(?:['’-]\w+)*"
+_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+# What a further group of a phone must not start: an IPv4 address or a whole card.
+_NEXT = r"(?!(?:\d{1,3}\.){3}\d|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?![ -]?\d)|\d{13})"
+_CODE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})"
+#: Plans of fixed length first, then a form that ends where no number goes on, then any; then forms without a country.
+_PHONE = "|".join((
+    r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\w+])\+7[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}(?!\d)",
+    _CODE + rf"(?:[ .-]?\d{{2,4}}){{2}}(?:(?:[ -]{_NEXT}|\.?)\d{{2,4}}){{0,2}}(?![.-]?\d|[0-9A-Fa-f]{{0,2}}:[0-9A-Fa-f])",
+    _CODE + r"(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    r"(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    r"(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])",
+))
 #: kind and pattern, in the order that decides where two start at one place.
 PATTERNS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -64,10 +77,10 @@ PATTERNS = (
     ("mac", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"),
     ("ipv6", r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])"),
+    ("phone", _PHONE),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\w.-])\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}(?![\w-])|(?<![\w.-])\d{13,19}(?![\w-])"),
-    ("person", r"\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.?[  ](?:{_NAME}[  ]){{0,2}}{_NAME}"),
+    ("person", rf"\b(?:{_TITLE})\.?[  ]{_NAME}(?:[  ](?!(?:{_TITLE})\.?[  ][^\W\d_a-zа-яα-ω]|[A-Z]{{2}}\d{{2}}){_NAME}){{0,2}}"),
 )
 
 

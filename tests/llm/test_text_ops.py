@@ -326,6 +326,22 @@ def test_pii_formats():
         assert pii.replaced(clean, {}, b"k")[0] == clean
 
 
+def test_pii_neighbours():
+    """Each entity is found whole, and as the same entity, beside one of any kind."""
+    one = ["bob.lee@site.org", "GB82 WEST 1234 5698 7654 32", "00:1A:2b:3c:4d:5e", "2001:db8:0:1:2:3:4:5", "10.20.30.40", "190.137.223.204", "123-45-6789", "Mr. John Smith"]
+    one += ["+1 (826) 555-4081", "+44 20 7946 0958", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+49 30 1234 5678", "+7 (495) 123-45-67", "(212) 555-0199", "212-555-0199"]
+    one += ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467"]
+    said = lambda text: [(k, e, v) for _, _, k, e, v in pii.entities(text)]
+    for a in one:
+        assert said(a)
+        for b in one:
+            for between in (" ", ", ", "\n"):
+                assert said(a + between + b) == said(a) + said(b), (a, between, b)
+    for phone in ("+1 (469) 555-8958", "+7 (495) 123-45-67"):
+        assert said(phone + " 2024") == said(phone) and pii.replaced(phone + " 2024", {}, b"k")[0].endswith(" 2024")
+    assert said("+44 20 7946 0958-1") and said("+44 20 7946 0958.5")  # a number that goes on is no reason to leave it
+
+
 # ---- mixing -----------------------------------------------------------------------------
 
 
