@@ -1,7 +1,7 @@
 """Language-model scoring by context-tree weighting.
 
 Each byte is eight binary decisions along a tree of 255 nodes.  For every
-context of 0 to 3 bytes and every node of the byte, the training texts give
+context of 0 to ``depth`` bytes and every node of the byte, the training texts give
 counts of zeros and ones; Krichevsky-Trofimov estimates of all depths are mixed
 by the weights of the context tree: ``Pw = (Pe + product of the children's Pw)
 / 2``, ``Pw = Pe`` at the deepest contexts.  A text's code length is the sum of
@@ -11,11 +11,12 @@ frozen.  Contexts before a text's start are zero bytes.
 Beside it, words give the add-one unigram score.
 
 How it is spread out.  Texts go into blocks of bounded bytes, written once.
-Every block lists its distinct words and its distinct 4-byte strings with their
-training counts; these are all that is gathered from the corpus, and they grow
+Every block lists its distinct words and its distinct strings of a context and a
+byte with their training counts; these are all that is gathered from the corpus, and they grow
 with it.  Words are summed over blocks by one window per word.  The strings are
-summed, then grouped by their two middle bytes: a group has at most 65,536
-strings and holds the two deepest levels of the tree.  The two upper levels
+summed, then grouped by the two bytes before the last: a group holds all levels
+of the tree from two bytes on; how many strings it has grows with the depth and
+the corpus (at most 65,536 for contexts of 3 bytes).  The two upper levels
 have at most 65,536 nodes together and are the only thing that goes through the
 driver.  Each block then gets the values of its own words and strings by a
 cogroup and sums them up per text, so no worker ever holds the model.
@@ -55,27 +56,49 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 # ---- byte strings of a block ----------------------------------------------------
 
 
-def context_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-byte string that ends at each byte (first byte highest), and where each text starts (rows + 1)."""
+def context_codes(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The string of ``depth`` + 1 bytes that ends at each byte (first byte highest), and where each text starts (rows + 1)."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
     flat = np.frombuffer(b"".join(x.as_buffer() for x in texts), np.uint8) if len(texts) else np.empty(0, np.uint8)
-    codes = flat.astype(np.uint32)
+    kind = np.uint32 if depth < 4 else np.uint64
+    codes = flat.astype(kind)
     starts = ends - size
-    for back in (1, 2, 3):
-        prior = np.zeros(len(flat), np.uint32)
+    for back in range(1, depth + 1):
+        prior = np.zeros(len(flat), kind)
         prior[back:] = flat[:-back] if len(flat) > back else 0
         for first in range(back):  # bytes of the text before are no context
             at = starts[size > first] + first
             prior[at] = 0
-        codes |= prior << np.uint32(8 * back)
+        codes |= prior << kind(8 * back)
     return codes, np.concatenate(([0], ends))
 
 
+def string_bytes(codes: np.ndarray, depth: int) -> pa.Array:
+    """The strings as binary values."""
+    flat = codes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - depth :].tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(depth + 1), len(codes), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def string_codes(keys: pa.ChunkedArray, depth: int) -> np.ndarray:
+    """The codes of keys, which are a mark and the string."""
+    keys = keys.combine_chunks()
+    keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+    at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    flat = np.frombuffer(keys.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(keys), depth + 2)
+    out = np.zeros((len(keys), 8), np.uint8)
+    out[:, 7 - depth :] = flat[:, 1:]
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 class Index:
-    """Numbers the distinct 4-byte strings of a block in ascending order."""
+    """Numbers the distinct strings of a block in ascending order; those of more than four bytes are searched always."""
 
     def __init__(self, codes: np.ndarray) -> None:
+        self.cells = None
+        if codes.dtype.itemsize > 4:
+            self.found = np.unique(codes)
+            return
         used = np.zeros(256, bool)
         for shift in (0, 8, 16, 24):
             used |= np.bincount((codes >> np.uint32(shift)).astype(np.uint8), minlength=256)[:256] > 0
@@ -83,7 +106,6 @@ class Index:
         self.n = max(1, len(self.symbols))
         self.lut = np.zeros(256, np.int32)
         self.lut[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
-        self.cells = None
         if self.n**3 <= DENSE:
             context = self._context(codes)
             seen = np.zeros(self.n**3, bool)
@@ -107,7 +129,10 @@ class Index:
     def counted(self, codes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct strings, and how often each stands where the mask holds."""
         if self.cells is None:
-            return self.found, np.bincount(np.searchsorted(self.found, codes[mask]), minlength=len(self.found))
+            some, times = np.unique(codes[mask], return_counts=True)
+            n = np.zeros(len(self.found), np.int64)
+            n[np.searchsorted(self.found, some)] = times
+            return self.found, n
         size = len(self.contexts) * self.n
         here = np.bincount(self.cells, minlength=size) > 0
         n = np.bincount(self.cells[mask], minlength=size)[here]
@@ -144,8 +169,8 @@ def _lowered(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Written rows: the texts of each block, its words (key ``w`` and the word), its strings (key ``g`` and four bytes)."""
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
+    """Written rows: the texts of each block, its words (key ``w`` and the word), its strings (key ``g`` and ``depth`` + 1 bytes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in BLOCKS.split(", ")]
@@ -164,11 +189,10 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             low = _lowered(texts)
             values, codes, rows = words.numbered(low, lower=False)
             n_words = np.bincount(codes[np.repeat(train, np.diff(rows))], minlength=len(values))
-            strings, bounds = context_codes(low)
+            strings, bounds = context_codes(low, depth)
             found, n_found = Index(strings).counted(strings, np.repeat(train, np.diff(bounds)))
             prefix = lambda mark, x: pc.binary_join_element_wise(pa.array([mark] * len(x), pa.binary()), x, b"")
-            four = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), len(found), [None, pa.py_buffer(found.astype(">u4").tobytes())]).cast(pa.binary())
-            for mark, keys, counts in ((b"w", values.cast(pa.binary()), n_words), (b"g", four, n_found)):
+            for mark, keys, counts in ((b"w", values.cast(pa.binary()), n_words), (b"g", string_bytes(found, depth), n_found)):
                 for a in range(0, len(keys), 50_000):
                     some = prefix(mark, keys.slice(a, 50_000))
                     k = len(some)
@@ -211,25 +235,58 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return np.where(x > 1e6, (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x), log_gamma(np.minimum(x, 1e6)))
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of any sequence with these counts."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+#: Logs of gamma at the halves and wholes that counts below this need.
+COUNTS = 1 << 14
+_HALVES, _WHOLES = _log_gamma(np.arange(COUNTS) + 0.5), _log_gamma(np.arange(COUNTS) + 1.0)
 
 
-def _path(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its eight nodes (1 to 255) and bits."""
-    k = np.arange(8)
-    x = last[:, None].astype(np.int64)
-    return (1 << k) | (x >> (8 - k)), (x >> (7 - k)) & 1
+def _looked_up(table: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, COUNTS - 1).astype(np.int64)]
+    large = n >= COUNTS
+    if large.any():
+        out[large] = _log_gamma(n[large] + shift)
+    return out
 
 
-def _levels(codes: np.ndarray, n: np.ndarray):
-    """Counts of the two deepest levels of a group of strings: contexts, rows, paths, and counts by (context, node, bit)."""
-    contexts, rows = np.unique(codes >> np.uint32(24), return_inverse=True)
-    nodes, bits = _path(codes & np.uint32(255))
-    at = ((rows[:, None] * 256 + nodes) * 2 + bits).ravel()
-    deep = np.bincount(at, np.repeat(n.astype(float), 8), len(contexts) * 512).reshape(len(contexts), 256, 2)
-    return rows, nodes, bits, deep, deep.sum(0)
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of any sequence with these counts."""
+    return _looked_up(_HALVES, zeros, 0.5) + _looked_up(_HALVES, ones, 0.5) - _looked_up(_WHOLES, zeros + ones, 1.0) - math.log(math.pi)
+
+
+class Levels:
+    """The tree below one context of two bytes, from its strings and their counts.
+
+    A level has the distinct (context, byte) pairs, ascending; a node of it is
+    the run of pairs with equal context and equal leading bits of the byte.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int) -> None:
+        found, at = np.unique(codes, return_inverse=True)
+        self.pairs, self.n, self.up, self.at = [found], [np.bincount(at, n.astype(float), len(found))], [], at
+        for d in range(depth - 1, 1, -1):
+            found, up = np.unique(self.pairs[-1] & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
+            self.up.append(up)
+            self.n.append(np.bincount(up, self.n[-1], len(found)))
+            self.pairs.append(found)
+
+    def nodes(self, k: int):
+        """Per level, deepest first, of the nodes after k bits: (first pairs, node of each pair, bit of each pair, zeros, ones, log Pe, log of the children's Pw, log Pw)."""
+        out = []
+        for i, (pairs, n) in enumerate(zip(self.pairs, self.n)):
+            lead = pairs >> np.uint64(8 - k)
+            new = np.ones(len(pairs), bool)
+            new[1:] = lead[1:] != lead[:-1]
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            bit = (pairs >> np.uint64(7 - k)).astype(np.int64) & 1
+            ones = np.add.reduceat(n * bit, first)
+            zeros = np.add.reduceat(n, first) - ones
+            pe = pw = log_kt(zeros, ones)
+            below = None
+            if i:
+                below = np.bincount(run[self.up[i - 1][out[-1][0]]], out[-1][7], len(first))
+                pw = _mix(pe, below)
+            out.append((first, run, bit, zeros, ones, pe, below, pw))
+        return out
 
 
 def _mix(pe: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -237,11 +294,14 @@ def _mix(pe: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.logaddexp(pe, below) - math.log(2)
 
 
-def upper_sums(codes: np.ndarray, n: np.ndarray):
-    """Of the two-byte contexts of a group: per node the counts and log Pw."""
-    _, _, _, deep, middle = _levels(codes, n)
-    below = log_kt(deep[:, :, 0], deep[:, :, 1]).sum(0)
-    return middle, _mix(log_kt(middle[:, 0], middle[:, 1]), below)
+def upper_sums(codes: np.ndarray, n: np.ndarray, depth: int):
+    """Of the two-byte context of a group: its nodes, their zeros, ones and log Pw."""
+    levels, out = Levels(codes, n, depth), []
+    for k in range(8):
+        first, _, _, zeros, ones, _, _, pw = levels.nodes(k)[-1]
+        lead = ((levels.pairs[-1][first] & np.uint64(255)) >> np.uint64(8 - k)).astype(np.int64)
+        out.append(((1 << k) | lead, zeros, ones, pw))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def _share(pe: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -262,41 +322,47 @@ def top_levels(rows: list[tuple]) -> dict:
     return {"share1": _share(pe1, below), "kt1": kt(n), "share0": _share(pe0, below0), "kt0": kt(root)}
 
 
-def string_logs(codes: np.ndarray, n: np.ndarray, top: dict) -> np.ndarray:
-    """log2 of the mixture's probability of the last byte of each string after its three first."""
-    rows, nodes, bits, deep, middle = _levels(codes, n)
-    byte = int(codes[0] >> np.uint32(8)) & 255
-    below = log_kt(deep[:, :, 0], deep[:, :, 1]).sum(0)
-    share2 = _share(log_kt(middle[:, 0], middle[:, 1]), below)
-    of = lambda c, *at: (c[(*at, bits)] + 0.5) / (c[(*at, 0)] + c[(*at, 1)] + 1)
-    p = of(deep, rows[:, None], nodes)
-    for share, own in ((share2[nodes], of(middle, nodes)), (top["share1"][byte][nodes], top["kt1"][byte][nodes, bits]), (top["share0"][nodes], top["kt0"][nodes, bits])):
-        p = share * own + (1 - share) * p
-    return np.log2(p).sum(1)
-
-
-def string_model(counts: DataFrame) -> DataFrame:
+def string_logs(codes: np.ndarray, n: np.ndarray, top: dict, depth: int) -> np.ndarray:
+    """log2 of the mixture's probability of the last byte of each string after the bytes before it."""
+    levels = Levels(codes, n, depth)
+    deep = levels.pairs[0]
+    last, byte = (deep & np.uint64(255)).astype(np.int64), int(deep[0] >> np.uint64(8)) & 255
+    total = np.zeros(len(deep))
+    for k in range(8):
+        at = None
+        for i, (_, run, bit, zeros, ones, pe, below, _) in enumerate(levels.nodes(k)):
+            own = (np.where(bit, ones[run], zeros[run]) + 0.5) / ((zeros + ones)[run] + 1)
+            if not i:
+                p = own
+                continue
+            at = levels.up[0] if at is None else levels.up[i - 1][at]
+            share = _share(pe, below)[run][at]
+            p = share * own[at] + (1 - share) * p
+        node, bits = (1 << k) | (last >> (8 - k)), (last >> (7 - k)) & 1
+        for share, own in ((top["share1"][byte][node], top["kt1"][byte][node, bits]), (top["share0"][node], top["kt0"][node, bits])):
+            p = share * own + (1 - share) * p
+        total += np.log2(p)
+    return total[levels.at]
+
+
+def string_model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(__key, value): log2 probability of every string; ``counts`` is a written table (__key, __n)."""
-    grouped = counts.withColumn("__middle", F.substring("__key", 3, 2))
-
-    def codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        keys = b"".join(x.as_py()[1:] for x in table.column("__key"))
-        return np.frombuffer(keys, ">u4").astype(np.uint32), table.column("__n").to_numpy()
+    grouped = counts.withColumn("__middle", F.substring("__key", depth, 2))
 
     def sums(table: pa.Table) -> pa.Table:
-        c, n = codes(table)
-        middle, logs = upper_sums(c, n)
-        nodes = np.flatnonzero(middle.sum(1) > 0)
-        byte = np.full(len(nodes), int(c[0] >> np.uint32(8)) & 255, np.int32)
-        return pa.table({"byte": byte, "node": nodes.astype(np.int32), "zeros": middle[nodes, 0], "ones": middle[nodes, 1], "logs": logs[nodes]})
+        c = string_codes(table.column("__key"), depth)
+        node, zeros, ones, logs = upper_sums(c, table.column("__n").to_numpy(), depth)
+        some = zeros + ones > 0
+        byte = np.full(int(some.sum()), int(c[0] >> np.uint64(8)) & 255, np.int32)
+        return pa.table({"byte": byte, "node": node[some].astype(np.int32), "zeros": zeros[some], "ones": ones[some], "logs": logs[some]})
 
     upper = grouped.groupBy("__middle").applyInArrow(sums, "byte int, node int, zeros double, ones double, logs double")
     rows = upper.groupBy("byte", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")).collect()  # at most 256 x 255 rows
     top = counts.sparkSession.sparkContext.broadcast(top_levels([tuple(r) for r in rows]))
 
     def logs(table: pa.Table) -> pa.Table:
-        c, n = codes(table)
-        return pa.table({"__key": table.column("__key"), "value": string_logs(c, n, top.value)})
+        c = string_codes(table.column("__key"), depth)
+        return pa.table({"__key": table.column("__key"), "value": string_logs(c, table.column("__n").to_numpy(), top.value, depth)})
 
     return grouped.groupBy("__middle").applyInArrow(logs, "__key binary, value double")
 
@@ -304,9 +370,11 @@ def string_model(counts: DataFrame) -> DataFrame:
 # ---- pass two -----------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    rows = blocks(docs, block_bytes)
+def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
+    """For contexts of 0 to ``depth`` (2 to 7) bytes: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    if not 2 <= depth <= 7:
+        raise ValueError("a context has 2 to 7 bytes at most: a string of it and one more byte is a long")
+    rows = blocks(docs, block_bytes, depth)
     keys = rows.filter("__key is not null").select("__block", "__at", "__key", "__n")
     mark = F.substring("__key", 1, 1)
     found = keys.filter(mark == F.lit(b"w"))
@@ -315,9 +383,9 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     sums = found.select("__block", "__at", "__n", F.sum("__n").over(own).cast("double").alias("value"), first.alias("__first"))
     sums = written(sums, "lm-words")
     strings = keys.filter(mark == F.lit(b"g"))
-    model = string_model(written(strings.groupBy("__key").agg(F.sum("__n").alias("__n")), "lm-strings"))
+    model = string_model(written(strings.groupBy("__key").agg(F.sum("__n").alias("__n")), "lm-strings"), depth)
     logs = strings.select("__block", "__key").join(written(model, "lm-model"), "__key")
-    code = F.conv(F.hex(F.substring("__key", 2, 4)), 16, 10).cast("long")
+    code = F.conv(F.hex(F.substring("__key", 2, depth + 1)), 16, -10).cast("long")  # signed
     slices = sums.select("__block", F.lit(True).alias("__word"), F.col("__at").cast("long").alias("__i"), "value").unionByName(
         logs.select("__block", F.lit(False).alias("__word"), code.alias("__i"), "value")
     )
@@ -341,8 +409,8 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         n_words = np.diff(at)
         base = _sums((np.log10(counts + 1) - math.log10(below))[codes], at) + math.log10((ends + 1) / below)
         known = _sums((counts > 0)[codes].astype(float), at) + (ends > 0)
-        strings, bounds = context_codes(low)
-        logs = Index(strings).spread(strings, i[~is_word].astype(np.uint32), v[~is_word]) if len(strings) else np.empty(0)
+        strings, bounds = context_codes(low, depth)
+        logs = Index(strings).spread(strings, i[~is_word].astype(strings.dtype), v[~is_word]) if len(strings) else np.empty(0)
         bits = -_sums(logs, bounds)
         size = np.diff(bounds)
         out = {

@@ -155,6 +155,28 @@ def test_ctw_matches_brute_force(spark, empty):
             assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-4 and abs(a[6] - b[6]) < 1e-4
 
 
+@pytest.mark.parametrize("depth", [4, 7])
+def test_ctw_of_other_depths(spark, depth):
+    pairs = [(i, "Ünder the same längest passage ψ " * (1 + i % 2) + str(i)) for i in range(6)] + [(6, None), (None, "änger")]
+    tree = cases.Tree([t or "" for d, t in pairs if cases.in_training(d)], depth)
+    want = sorted((str(d), tree.log10(t or "")) for d, t in pairs)
+    small = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2)
+    have = sorted((str(r.doc_id), r.score) for r in ctw.score_documents(small, depth=depth).collect())
+    assert len(have) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(have, want))
+
+
+def test_ctw_query_reads_long_contexts(spark, tmp_path):
+    """Bytes that only contexts of more than 3 bytes tell earn a shorter code than a tree of 3 gives."""
+    from strataweave.llm import ctw_query
+
+    rows = [(i, ("xabcdY " if i % 2 else "zabcdW ") * 20) for i in range(20)]
+    small = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    small.write.parquet(f"{tmp_path}/documents.parquet")
+    deep = {r.doc_id: r.score for r in ctw_query.op5_ctw_scores(spark, str(tmp_path)).collect()}
+    flat = {r.doc_id: r.score for r in ctw.score_documents(small, depth=3).collect()}
+    assert all(deep[i] > flat[i] + 4 for i in deep) and len(deep) == 20
+
+
 def test_ctw_of_empty_texts_only(spark):
     got = ctw.score_documents(spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id long, text string")).collect()
     assert {(r.n_tokens, r.train_tokens) for r in got} == {(1, sum(map(cases.in_training, (1, 2, 3))))} and len(got) == 3
