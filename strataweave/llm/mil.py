@@ -7,15 +7,17 @@ of a document, and a logistic unit scores the weighted sum.  Only the label of
 the whole document is learned from; the weights of passages come out of it.
 
 The model is fitted on the driver from a bounded sample of labelled documents
-(``SAMPLE`` rows, the smallest by a hash of the id), whose passage features are
-computed by the executors over whole texts.  Its size is fixed.  Scoring is one
-Arrow pass over whole texts; a chunk of texts is held at a time.
+(``SAMPLE`` ids, the smallest by a hash of the id, of which the first
+``SAMPLE_BYTES`` of whole texts), whose passage features are computed by the
+executors.  Its size is fixed.  Scoring is one Arrow pass over whole texts; a
+chunk of texts, or a part of a long one, is held at a time.
 
 Defined cases: null and empty texts are one empty passage and get its score;
 documents without a label are scored too; several labels of a document count by
 their largest; labels without a document or a quality are not used; with fewer
 than two classes among the labels every score is the base rate of label 1 (1.0
-without any label); repeated rows get equal scores; an empty table gives no row.
+without any label); repeated rows get equal scores; an id of several texts is
+learned from by the greatest of them; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,52 +34,134 @@ from strataweave.llm import words
 
 PASSAGE = 64
 SAMPLE = 3000
+SAMPLE_BYTES = 24 << 20
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.004, 1e-4, 7
 THRESHOLD = 0.3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # Bytes by class; class 0 is any other byte.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t\x0b\x0c", b".,", b";:?'\"-", b"!", b"|", b"$%&*#@^~+=", b"()[]{}<>/\\_`", bytes(range(128, 256)))
 N_CLASSES = len(CLASSES) + 1
-LUT = np.zeros(256, np.int64)
+LUT = np.zeros(256, np.uint8)
 for _i, _c in enumerate(CLASSES):
     LUT[list(_c)] = _i + 1
 N_FEATURES = N_CLASSES * N_CLASSES + 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def passages(texts: pa.Array, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the passages of a chunk of texts, and where each text's passages start (rows + 1)."""
-    lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts], np.int64)
-    raw = np.frombuffer(b"".join(x.as_buffer() for x in texts if x.is_valid), np.uint8)
-    _, codes, at = words.numbered(texts, lower=True)
-    n_words = np.diff(at)
+def _runs(raw: np.ndarray, start: np.ndarray, first_of_text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passage of each byte, and how many passages each text has; a passage ends where word ``size`` starts."""
+    n_words = np.add.reduceat(start, first_of_text, dtype=np.int32) if len(raw) else np.empty(0, np.int32)
     counts = np.maximum(1, -(-n_words // size))
-    first = np.concatenate(([0], np.cumsum(counts)))
-    total = int(first[-1])
-    row = np.repeat(np.arange(len(lengths)), n_words)
-    within = np.arange(len(codes)) - at[row] if len(codes) else np.empty(0, np.int64)
-    own = first[row] + within // size  # passage of each word
-    # passage of each byte: bytes before the first word of a text belong to its first passage
+    word = np.flatnonzero(start).astype(np.int32)
+    within = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(n_words, dtype=np.int32) - n_words, n_words)
+    opens = np.zeros(len(raw), bool)
+    opens[word[(within % size == 0) & (within > 0)]] = True
+    opens[first_of_text] = True
+    return np.cumsum(opens, dtype=np.int32) - 1, counts
+
+
+def features(raw: np.ndarray, lengths: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages of texts laid end to end, and how many passages each has; small types, as each byte has a cell of each array."""
+    full = lengths > 0
+    begin = (np.cumsum(lengths) - lengths)[full]
     kind = LUT[raw]
     space = (kind == 4) | (kind == 5)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
     start = ~space
-    start[1:] &= space[:-1] | (doc[1:] != doc[:-1])
-    word = np.cumsum(start) - 1
-    byte_own = np.where(word >= (at[doc] if len(doc) else 0), own[np.clip(word, 0, None)] if len(own) else 0, first[doc] if len(doc) else 0)
-    pair = byte_own[1:] * (N_CLASSES * N_CLASSES) + kind[:-1] * N_CLASSES + kind[1:]
-    pair = pair[byte_own[1:] == byte_own[:-1]]
+    start[1:] &= space[:-1]
+    if len(raw):
+        start[begin] = ~space[begin]
+    own, some = _runs(raw, start, begin, size)
+    counts = np.ones(len(lengths), np.int64)
+    counts[full] = some
+    # empty texts have a passage without bytes
+    total = int(counts.sum())
+    place = np.arange(total)[np.repeat(full, counts)].astype(np.int32)
+    own = place[own] if len(raw) else own
+    same = own[1:] == own[:-1]
+    pair = own[1:][same] * np.int32(N_CLASSES**2) + (kind[:-1][same].astype(np.int16) * N_CLASSES + kind[1:][same])
     pairs = np.bincount(pair, minlength=total * N_CLASSES**2).reshape(total, -1).astype(np.float32)
+    del pair, same
     pairs = np.sqrt(pairs / np.maximum(pairs.sum(1, keepdims=True), 24))
-    n = np.bincount(own, minlength=total).astype(np.float32)
-    again = (codes[1:] == codes[:-1]) & (own[1:] == own[:-1])
-    repeats = np.bincount(own[1:][again], minlength=total)
-    both = np.unique(own * (int(codes.max()) + 1 if len(codes) else 1) + codes) // (int(codes.max()) + 1 if len(codes) else 1)
-    distinct = np.bincount(both.astype(np.int64), minlength=total)
-    letters = np.bincount(byte_own[~space], minlength=total)
+    at = np.flatnonzero(start)
+    word_own = own[at]
+    n = np.bincount(word_own, minlength=total).astype(np.float32)
+    letters = np.bincount(own[~space], minlength=total)
+    codes = _word_codes(raw, space, at, begin)
+    again = (codes[1:] == codes[:-1]) & (word_own[1:] == word_own[:-1])
+    repeats = np.bincount(word_own[1:][again], minlength=total)
+    kinds = int(codes.max()) + 1 if len(codes) else 1
+    both = np.unique(word_own.astype(np.int64) * kinds + codes) // kinds
+    distinct = np.bincount(both, minlength=total)
     more = np.stack([repeats / np.maximum(n, 8), 1 - distinct / np.maximum(n, 1), np.minimum(letters / np.maximum(n, 1), 40) / 40, n / size], 1)
-    return np.concatenate([pairs, more.astype(np.float32)], 1), first
+    return np.concatenate([pairs, more.astype(np.float32)], 1), counts
+
+
+def _word_codes(raw: np.ndarray, space: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words but for the case of ASCII letters."""
+    if not len(at):
+        return np.empty(0, np.int64)
+    stops = np.append(space[1:], True)
+    stops[begin[1:] - 1] = True
+    ends = np.flatnonzero(~space & stops) + 1
+    offsets = np.empty(2 * len(at), np.int32)
+    offsets[0::2], offsets[1::2] = at, ends
+    # words and what stands between them, as one binary array; every other value is a word
+    flat = pa.Array.from_buffers(pa.binary(), 2 * len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw])])
+    return flat.take(pa.array(np.arange(0, 2 * len(at) - 1, 2))).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def passages(texts: pa.Array, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages of a chunk of texts, and where each text's passages start (rows + 1).
+
+    A text beyond ``CHUNK_BYTES`` is taken in parts that end where a passage does.
+    """
+    rows, counts, held = [], [], []
+
+    def take() -> None:
+        if held:
+            lengths = np.array([len(x) for x in held], np.int64)
+            x, n = features(np.frombuffer(b"".join(held), np.uint8), lengths, size)
+            rows.append(x)
+            counts.extend(n.tolist())
+            held.clear()
+
+    for value in texts:
+        raw = value.as_buffer() if value.is_valid else b""
+        if len(raw) <= CHUNK_BYTES:
+            held.append(raw)
+            continue
+        take()
+        n = 0
+        for part in _parts(np.frombuffer(raw, np.uint8), size):
+            x, k = features(part, np.array([len(part)]), size)
+            rows.append(x)
+            n += int(k[0])
+        counts.append(n)
+    take()
+    return np.concatenate(rows) if rows else np.empty((0, N_FEATURES), np.float32), np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+
+
+def _parts(raw: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Parts of a long text of about ``CHUNK_BYTES``, each but the last of whole passages."""
+    begin, reach = 0, CHUNK_BYTES
+    while begin < len(raw):
+        end = min(len(raw), begin + reach)
+        if end < len(raw):
+            kind = LUT[raw[begin:end]]
+            space = (kind == 4) | (kind == 5)
+            start = ~space
+            start[1:] &= space[:-1]
+            at = np.flatnonzero(start)
+            whole = (len(at) - 1) // size * size
+            if whole <= 0:  # a passage longer than this part
+                reach *= 2
+                continue
+            end = begin + int(at[whole])
+        yield raw[begin:end]
+        begin, reach = end, CHUNK_BYTES
 
 
 class Model:
@@ -152,25 +236,29 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled documents outside the held-out fold: at most ``sample`` and ``sample_bytes`` of whole text."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in words.chunks(batch.column(2), CHUNK_BYTES):
                 x, first = passages(texts)
                 rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(rows, pa.binary())], ["doc_id", "quality", "bag"])
 
-    picked = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    # an id stands for one text; a window over ``sample`` rows of sizes then fits them to the bytes
+    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max(F.col("quality").cast("int")).alias("quality"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = one.select("doc_id", F.octet_length("text").alias("size")).withColumn("upto", F.sum("size").over(upto))
+    picked = one.join(sizes.filter(F.col("upto") <= sample_bytes).select("doc_id"), "doc_id").select("doc_id", "quality", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = picked.mapInArrow(features, f"doc_id {kind}, quality int, bag binary").collect()  # ``sample`` documents
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["bag"]))}.values())
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]
+    rows = picked.mapInArrow(bags_of, f"doc_id {kind}, quality int, bag binary").collect()  # bounded by ``sample_bytes``
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows]
     return fit(bags, np.array([r["quality"] for r in rows], float))
 
 
@@ -181,6 +269,7 @@ def quality_score(text: Column, model: Model) -> Column:
         for column in batches:
             out = [model.scores(*passages(texts))[0] for _, texts in words.chunks(column, CHUNK_BYTES)]
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        words.trim()
 
     return F.arrow_udf(score, T.DoubleType())(F.coalesce(text, F.lit("")))
 

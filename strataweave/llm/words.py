@@ -29,6 +29,17 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.A
         start = end
 
 
+def trim() -> None:
+    """Give what this worker has freed back to the machine; an idle worker else keeps the most it ever had."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def numbered(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of a chunk, the word numbers in order, and where each row's words start (rows + 1)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
