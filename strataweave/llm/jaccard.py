@@ -3,9 +3,8 @@
 A document is the set of its distinct word n-grams.  Two documents link when
 their Jaccard similarity is at least 75 in 100.
 
-One pass over the texts numbers the words, hashes the n-grams (64 bits to tell
-them apart in a document, 48 between documents) and finds equal sets, which are
-one node.  The sorted hashes go in delta-coded blocks to the tasks of their hash
+One pass over the texts numbers the words, hashes the n-grams (64 bits) and finds
+equal sets, which are one node.  The sorted hashes go in delta-coded blocks to the tasks of their hash
 ranges, which count how many nodes hold each n-gram.  Those that several hold
 are postings from here on: an n-gram that one node holds stands first in the
 rare-first order and can match nothing.  An n-gram that ``HOT`` nodes of one task
@@ -51,10 +50,9 @@ from strataweave.session import forget, written
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: N-grams a task gathers before it sorts and sends them, and text bytes per hash range.
-GATHERED = 2_000_000
-RANGE_BYTES = 8 << 20
-CHUNK_BYTES = 4 << 20
-HASH_BITS = 48
+GATHERED = 800_000
+RANGE_BYTES = 5 << 20
+CHUNK_BYTES = 1 << 20
 BITMAP_LONGS = 8
 #: Lists longer than this are paired in parts.
 LIST = 2048
@@ -116,7 +114,8 @@ def _decoded(data: bytes) -> np.ndarray:
     body = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
     out = np.zeros((len(body), 8), np.uint8)
     out[:, :width] = body
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+    out = out.view("<u8").ravel()
+    return np.cumsum(out, dtype=np.uint64, out=out)
 
 
 #: Nodes of one task that make an n-gram common, its place in the rare-first order, and the owner that marks it.
@@ -135,8 +134,8 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        nodes: dict[bytes, int] = {}
-        base = task << 32  # owners count from here, in two bytes
+        nodes: dict[bytes, int] = {}  # of what is gathered; equal sets before a flush and after it are nodes each
+        base = after = task << 32  # owners count from here, in two bytes
         grams: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         size, spread = 0, task * 7919
@@ -148,6 +147,7 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size, spread
+            nodes.clear()
             if not size:
                 return
             g, o = np.concatenate(grams), np.concatenate(owners)
@@ -168,7 +168,7 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
             first[starts] = True
             o = np.where(common, np.uint16(MARK), o)
             g, o = g[~common | first], o[~common | first]
-            to = ((g >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
+            to = ((g >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             cut = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(g)]))
             to, blocks = to[cut[:-1]].astype(np.int64), list(zip(cut[:-1], cut[1:]))
             for a in range(0, len(blocks), 64):
@@ -189,12 +189,13 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
                         continue
                     digest = hashlib.blake2b(mine.tobytes(), digest_size=16).digest()
                     if digest not in nodes:
-                        nodes[digest] = (task << 32) | len(nodes)
-                        new.append((nodes[digest], digest, len(mine), bitmap(mine).tolist()))
-                        if nodes[digest] - base >= MARK:
+                        if after - base >= MARK:
                             yield from flush()
-                            base = nodes[digest]
-                        grams.append(mine >> np.uint64(64 - HASH_BITS))
+                            base = after
+                        nodes[digest] = after
+                        after += 1
+                        new.append((nodes[digest], digest, len(mine), bitmap(mine).tolist()))
+                        grams.append(mine)
                         owners.append(np.full(len(mine), nodes[digest] - base, np.uint16))
                         size += len(mine)
                     own.append(nodes[digest])
@@ -205,8 +206,9 @@ def _sender(ranges: int, n: int, id_type: pa.DataType):
                     yield rows(k, __to=even(k), __kind=pa.array([1] * k), __node=pa.array(node), __digest=pa.array(digest, pa.binary()), __n=pa.array(count), __bits=pa.array(bits))
                 if size >= GATHERED:
                     yield from flush()
-                    base = (task << 32) | len(nodes)
+                    base = after
         yield from flush()
+        words.trim()
 
     return send
 
@@ -220,27 +222,27 @@ def _shared(table: pa.Table) -> pa.Table:
     names = [c.split()[0] for c in FOUND.split(", ")]
     plain = table.filter(pc.less(table.column("__kind"), 2))
     plain = plain.select(names[:-1]).append_column("__gram", pa.nulls(plain.num_rows, pa.int64()))
-    parts = []
-    for r in table.filter(pc.greater(table.column("__kind"), 1)).select(["__kind", "__node", "__grams", "__owners"]).to_pylist():
-        o = np.frombuffer(r["__owners"], np.uint16).astype(np.int64)
-        parts.append((_decoded(r["__grams"]), np.where(o == MARK, -1, o + r["__node"]), np.full(len(o), r["__kind"] == 3)))
-    if not parts:
-        return plain
-    g, node, done = (np.concatenate(c) for c in zip(*parts))
+    parts, kept = [], []
+    for r in table.filter(pc.greater(table.column("__kind"), 1)).select(["__kind", "__node", "__grams", "__owners"]).to_batches():
+        for kind, base, grams, owners in zip(*(c.to_pylist() if n < 2 else c for n, c in enumerate(r.columns))):
+            o = np.frombuffer(owners.as_buffer(), np.uint16)
+            node = np.where(o == MARK, -1, o.astype(np.int64) + base)
+            (kept if kind == 3 else parts).append((_decoded(grams.as_buffer()), node))
+    done_g, done_node = (np.concatenate(c) for c in zip(*kept)) if kept else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    g, node = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
     parts.clear()
-    done_g, done_node = g[done], node[done]
-    g, node = g[~done], node[~done]
     order = np.argsort(g, kind="stable")
     g, node = g[order], node[order]
+    del order
     starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
     runs = np.diff(np.append(starts, len(g)))
     marked = np.logical_or.reduceat(node < 0, starts) if len(g) else np.empty(0, bool)
-    place = np.repeat(np.where(marked, LAST, runs), runs)
-    keep = (place > 1) & (node >= 0)
-    place = np.concatenate([np.full(len(done_g), LAST), place[keep]])
-    g, node = np.concatenate([done_g, g[keep]]), np.concatenate([done_node, node[keep]])
+    several = np.repeat((runs > 1) | marked, runs) & (node >= 0)
+    place = np.repeat(np.where(marked, LAST, runs), runs)[several]
+    place = np.concatenate([np.full(len(done_g), LAST), place])
+    g, node = np.concatenate([done_g, g[several]]), np.concatenate([done_node, node[several]])
     columns = {f.name: pa.nulls(len(g), f.type) for f in plain.schema}
-    columns |= {"__kind": pa.array(np.full(len(g), 3, np.int8)), "__node": pa.array(node), "__n": pa.array(place), "__gram": pa.array(g.astype(np.int64))}
+    columns |= {"__kind": pa.array(np.full(len(g), 3, np.int8)), "__node": pa.array(node), "__n": pa.array(place), "__gram": pa.array(g.view(np.int64))}
     return pa.concat_tables([plain, pa.table([columns[x] for x in plain.schema.names], schema=plain.schema)])
 
 
@@ -260,6 +262,8 @@ def _grouped(f):
                 held.append(batch.filter(pc.equal(to, t)))
         if held:
             yield from f(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=100_000)
+        held.clear()
+        words.trim()
 
     return run
 
@@ -361,20 +365,30 @@ def star_pairs(some: DataFrame, turn: int) -> DataFrame:
 
 
 def rest_pairs(some: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes of two components that share a prefix n-gram, after all filters."""
+    """Distinct pairs of nodes of two components that share a prefix n-gram, after all filters.
+
+    Sizes that link are of one band or of neighbours, as a band reaches from a
+    size to its 100/75: the larger set of a pair meets its own band, the smaller
+    its own and the next, so sets of other sizes don't meet.
+    """
     some = some.join(rows.select("rep", "bits"), "rep")
+    scale = F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR)
+    band, reached = F.floor(scale).cast("int"), F.sequence(F.floor(scale - 1e-6).cast("int"), F.floor(scale + 1 + 1e-6).cast("int"))
     # a long list is cut into parts, and every two parts meet once
     parts = F.ceil(F.col("m") / F.lit(LIST)).cast("int")
-    some = some.withColumn("__parts", parts).withColumn("__part", F.pmod(F.xxhash64("rep"), F.col("__parts")).cast("int"))
-    some = some.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    some = some.withColumns({"__lo": F.least("__part", "__other"), "__hi": F.greatest("__part", "__other")})
-    side = lambda s: some.select("gram", "__lo", "__hi", *[F.col(c).alias(s + c) for c in ("rep", "n", "at", "component", "bits", "__part")])
-    x = side("a").join(side("b"), ["gram", "__lo", "__hi"])
+    some = some.withColumns({"__band": band, "__reached": reached, "__parts": parts}).withColumn("__part", F.pmod(F.xxhash64("rep"), F.col("__parts")).cast("int"))
+    cols = [F.col(c) for c in ("rep", "n", "at", "component", "bits", "__part")]
+    every = F.sequence(F.lit(0), F.col("__parts") - 1)
+    larger = some.select("gram", F.col("__band").alias("__b"), F.explode(every).alias("__other"), *[c.alias(f"b{n}") for c, n in zip(cols, ("rep", "n", "at", "component", "bits", "part"))])
+    smaller = some.select("gram", F.explode("__reached").alias("__b"), *cols)
+    smaller = smaller.select("gram", "__b", *[c.alias(f"a{n}") for c, n in zip(cols, ("rep", "n", "at", "component", "bits", "part"))])
+    # part p of the smaller side meets row p of each larger set's parts, so each pair meets once
+    x = smaller.join(larger, (smaller["gram"] == larger["gram"]) & (smaller["__b"] == larger["__b"]) & (smaller["apart"] == larger["__other"]))
     x = x.filter(
-        (F.col("arep") < F.col("brep")) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("__lo") == F.col("__hi")) | (F.col("a__part") != F.col("b__part")))
+        ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("arep") < F.col("brep")))) & (F.col("acomponent") != F.col("bcomponent"))
         & _may(F.col("an"), F.col("bn"), F.col("aat"), F.col("bat")) & _near(_apart("abits", "bbits"), F.col("an"), F.col("bn"))
     )
-    return x.select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
+    return x.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b")).distinct()
 
 
 def linked(entries: DataFrame, rows: DataFrame) -> DataFrame | None:

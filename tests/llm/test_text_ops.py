@@ -299,7 +299,7 @@ def test_jaccard_chains_and_common_ngrams(spark, seed, monkeypatch):
 def test_coded_round_trip():
     rng = np.random.default_rng(5)
     for n in (0, 1, 1000):
-        x = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        x = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
         assert (jaccard._decoded(jaccard._coded(x)) == x).all()
 
 
