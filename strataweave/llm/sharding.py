@@ -1,13 +1,18 @@
 """Two-pass external shuffle into shards of equal row counts.
 
 Pass one scatters the records uniformly into buckets of bounded size by a
-seeded hash of where each record stands in its input split, so copies and hot
-keys spread like any other rows.  Pass two takes one bucket at a time, shuffles
-it by Fisher-Yates with a generator seeded by the bucket, and writes it in that
-order.  Buckets one after another are then a uniform random permutation of the
-table; position ``p`` of it goes to shard ``p mod n``, slot ``p div n``, so the
-counts of the shards differ by one at most and slots have no gaps (law
-``rows``).
+seeded hash of what they hold.  Pass two takes one bucket at a time, orders it
+by that hash, shuffles it by Fisher-Yates with a generator seeded by the bucket,
+and writes it in that order.  Buckets one after another are then a uniform random
+permutation of the table; position ``p`` of it goes to shard ``p mod n``, slot
+``p div n``, so the counts of the shards differ by one at most and slots have no
+gaps (law ``rows``).  The seed and the rows decide all of it: however the input
+is split, a row gets the same place.
+
+Rows that are equal in every column can't be told apart, so it doesn't matter
+which of them gets which place.  A row that occurs more than ``COPIES`` times is
+taken out, and made again as often as it was counted, each copy with a hash of
+its own, so copies spread over all buckets like other rows.
 
 The written table fixes every random choice: a retried task rewrites its own
 bucket, and positions are counted from what was committed.  Memory: one bucket
@@ -16,7 +21,8 @@ summed by a window over that summary only.
 
 Defined cases: null texts are records of size 1; repeated rows are separate
 records; null ids are kept; an empty table gives no row; other columns are
-carried whatever their names are (working columns start with ``__shard_``).
+carried whatever their names are (working columns start with ``__shard_``); a
+column must be of a type that Spark hashes (any but maps).
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from strataweave.session import written
 
 LAW = "rows"
 BUCKET_BYTES = 24 << 20
+#: Equal rows that may share a bucket, and copies that one row makes in a task.
+COPIES = 1000
 
 
 def record_size(text: Column) -> Column:
@@ -52,16 +60,29 @@ def fisher_yates(n: int, seed: int):
     return items
 
 
-def shuffled(docs: DataFrame, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffled(docs: DataFrame, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES, copies: int = COPIES) -> DataFrame:
     """The written permutation: the columns of ``docs``, __shard_size, __shard_bucket, __shard_at."""
     spark = docs.sparkSession
-    rows = docs.withColumn("__shard_size", record_size(F.col(text)))
-    total = rows.agg(F.sum("__shard_size")).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
-    place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    scattered = rows.withColumn("__shard_bucket", F.pmod(place, F.lit(buckets)))
+    names = sorted(docs.columns)
+    hashes = {f"__shard_h{k}": F.xxhash64(F.lit(seed + k), *[F.col(f"`{c}`") for c in names], F.array(*[F.col(f"`{c}`").isNull() for c in names])) for k in (0, 1)}
+    rows = docs.withColumns({"__shard_size": record_size(F.col(text)), **hashes})
+    held = written(rows.groupBy(*hashes).agg(F.count("*").alias("__shard_n"), F.max("__shard_size").alias("__shard_size")), "shard-keys")
+    told = held.agg(F.sum(F.col("__shard_n") * F.col("__shard_size")), F.max("__shard_n")).first()
+    buckets = max(1, math.ceil((told[0] or 0) / bucket_bytes))
+    rows = rows.withColumn("__shard_copy", F.lit(0).cast("long"))
+    if (told[1] or 0) > copies:
+        many = held.filter(F.col("__shard_n") > copies).select(*hashes, "__shard_n")
+        one = rows.join(many, list(hashes)).dropDuplicates(list(hashes))
+        turns = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__shard_n") - 1) / copies)))
+        one = one.withColumn("__shard_turn", turns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("__shard_turn", *hashes))
+        upto = F.least(F.col("__shard_n"), (F.col("__shard_turn") + 1) * copies) - 1
+        one = one.withColumn("__shard_copy", F.explode(F.sequence(F.col("__shard_turn") * copies, upto)))
+        rows = rows.join(many.drop("__shard_n"), list(hashes), "left_anti").select(*rows.columns).unionByName(one.select(*rows.columns))
+    place = F.xxhash64(F.lit(seed), *hashes, "__shard_copy")
+    scattered = rows.withColumn("__shard_bucket", F.pmod(place, F.lit(buckets))).drop("__shard_copy")
     # the exchange is pass one; the sort below lets a task take its buckets one by one
     scattered = scattered.repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "__shard_bucket")
+    scattered = scattered.sortWithinPartitions("__shard_bucket", *hashes).drop(*hashes)
     schema = T.StructType([*scattered.schema.fields, T.StructField("__shard_at", T.LongType())])
 
     def second_pass(batches: Iterator) -> Iterator:
@@ -91,16 +112,16 @@ def shuffled(docs: DataFrame, text: str = "text", seed: int = 17, bucket_bytes:
         if held:
             yield from dealt(held, bucket)
 
-    out = scattered.sortWithinPartitions("__shard_bucket").mapInArrow(second_pass, schema)
+    out = scattered.mapInArrow(second_pass, schema)
     return written(out, "shards")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES, copies: int = COPIES) -> DataFrame:
     """The columns of ``docs`` with __shard_size, __shard (0 to shards - 1) and __shard_slot."""
-    rows = shuffled(docs, text, seed, bucket_bytes)
+    rows = shuffled(docs, text, seed, bucket_bytes, copies)
     counts = rows.groupBy("__shard_bucket").agg(F.count("*").alias("__shard_n"))
     upto = Window.orderBy("__shard_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("__shard_bucket"), F.coalesce(F.sum("__shard_n").over(upto), F.lit(0)).alias("__shard_start"))
+    starts = counts.select(F.col("__shard_bucket"), F.coalesce(F.sum("__shard_n").over(upto), F.lit(0)).alias("__shard_start"))  # a row a bucket
     out = rows.join(starts, "__shard_bucket")
     position = F.col("__shard_start") + F.col("__shard_at")
     out = out.withColumns({"__shard": (position % shards).cast("int"), "__shard_slot": F.floor(position / shards).cast("long")})
