@@ -10,11 +10,13 @@ lengths of the pieces between the matches (``split`` and ``regexp_extract_all``
 cut the text at the same places) by a running sum over the matches of a row.
 
 Then every candidate value is hashed and counted over the corpus by distinct
-repositories and distinct owners.  A value that ``min_owners`` owners or more
-hold is a widely copied example; one that fewer hold and that looks live (enough
-different characters, letters and digits) is a credential of its owner.  Each candidate adds
-a span over its value: ``example`` or ``live``; values that are neither add
-none.  Base spans always stay.
+repositories and distinct owners.  A value that ``MIN_OWNERS`` owners or more
+hold is a widely copied example, and so is one that fewer owners hold, but two at
+least, in ``MIN_REPOSITORIES`` repositories or more; a value that only one owner
+holds is its own however many repositories have it.  What is no example and looks
+live (enough different characters, letters and digits) is a credential of its
+owner.  Each candidate adds a span over its value: ``example`` or ``live``; values
+that are neither add none.  Base spans always stay.
 
 Counts go through (hash, owner, repository) groups first, so a value that a
 third of all rows hold is reduced map-side; the verdicts come back by a
@@ -37,15 +39,16 @@ ASSIGN = (
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+# whole runs either way, as a shorter run holds no longer one
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
 #: kind, pattern, group of the value, least length of the value; listed order breaks ties of the start.
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 #: Cheap tests that hold for every text with a kept match of the kind.
 MAY = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 #: What the method adds, ordered after the base kinds.
 ADDED = ("live", "example")
-MIN_OWNERS = 3
+MIN_OWNERS, MIN_REPOSITORIES = 3, 4
 #: A live-looking value has so many different characters, and letters and digits.
 MIN_DISTINCT = 8
 
@@ -87,8 +90,7 @@ def ownership(spans: DataFrame) -> DataFrame:
     """Per value digest: how often, in how many repositories and by how many owners it is held."""
     held = spans.select(F.sha2("value", 256).alias("digest"), F.coalesce("__owner", F.lit("\x00")).alias("o"), F.coalesce("__repo", F.lit("\x00")).alias("r"))
     held = held.groupBy("digest", "o", "r").agg(F.count("*").alias("n"))
-    held = held.groupBy("digest", "o").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
-    return held.groupBy("digest").agg(F.sum("n").alias("occurrences"), F.sum("r").alias("repositories"), F.count("*").alias("owners"))
+    return held.groupBy("digest").agg(F.sum("n").alias("occurrences"), F.count_distinct("r").alias("repositories"), F.count_distinct("o").alias("owners"))
 
 
 def looks_live(value: Column) -> Column:
@@ -97,26 +99,34 @@ def looks_live(value: Column) -> Column:
     return (F.size(letters) >= MIN_DISTINCT) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~F.lower(value).rlike("example|placeholder|changeme|xxxx")
 
 
-def judged(spans: DataFrame, min_owners: int = MIN_OWNERS) -> DataFrame:
-    """The spans the method adds, one per candidate: kind live or example, over the value."""
+def copied(owners: Column, repositories: Column, min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES) -> Column:
+    """Whether a value that so many owners and repositories hold is a widely copied example."""
+    return (owners >= min_owners) | ((owners >= 2) & (repositories >= min_repositories))
+
+
+def judged(spans: DataFrame, min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES) -> DataFrame:
+    """The spans the method adds, one per candidate: kind live or example, over the value, with its owners and repositories."""
     counts = ownership(spans).filter("digest is not null")
     x = spans.withColumn("digest", F.sha2("value", 256)).join(counts, "digest")
-    kind = F.when(F.col("owners") >= min_owners, "example").when(looks_live(F.col("value")), "live")
+    kind = F.when(copied(F.col("owners"), F.col("repositories"), min_owners, min_repositories), "example").when(looks_live(F.col("value")), "live")
     x = x.withColumns({"kind": kind, "start": F.col("end") - F.length("value")}).filter("kind is not null")
     order = F.when(F.col("kind") == "live", len(KINDS)).otherwise(len(KINDS) + 1)
     # a value that two base kinds found is one added span
-    return x.withColumn("__n", order).groupBy("__row", "kind", "start", "end").agg(F.first("__n").alias("__n"), F.first("value").alias("value"))
+    one = [F.first(c).alias(c) for c in ("__n", "value", "owners", "repositories")]
+    return x.withColumn("__n", order).groupBy("__row", "kind", "start", "end").agg(*one)
 
 
-def scan_secrets(docs: DataFrame, min_owners: int = MIN_OWNERS, keep: tuple = ("doc_id",), **columns) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES, keep: tuple = ("doc_id",), **columns) -> DataFrame:
     """Per row of ``docs``: the kept columns and all spans, ordered.
 
-    Returns ``keep``, ``found``: array<struct<start, __n, end, kind, value>>.
+    Returns ``keep``, ``found``: array<struct<start, __n, end, kind, value, owners,
+    repositories>>; the last two are null in base spans.
     """
     rows = scanned(docs, keep=keep, **columns)
     spans = written(base_spans(rows), "secret-spans")
-    cols = ("__row", F.struct("start", "__n", "end", "kind", "value").alias("x"))
-    every = spans.select(*cols).unionByName(judged(spans, min_owners).select(*cols))
+    cols = ("__row", F.struct("start", "__n", "end", "kind", "value", "owners", "repositories").alias("x"))
+    nobody = {c: F.lit(None).cast("long") for c in ("owners", "repositories")}
+    every = spans.withColumns(nobody).select(*cols).unionByName(judged(spans, min_owners, min_repositories).select(*cols))
     found = every.groupBy("__row").agg(F.sort_array(F.collect_list("x")).alias("found"))
     out = rows.select("__row", *keep).join(found, "__row", "left").drop("__row")
     nothing = F.from_json(F.lit("[]"), out.schema["found"].dataType.simpleString())

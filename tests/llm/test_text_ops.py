@@ -120,6 +120,23 @@ def test_mil_attention_sums_to_one_and_reads_the_end():
     assert np.allclose(np.add.reduceat(a, first[:-1]), 1) and s[0] > 0.5 > s[1] and s[2] == s[3]
 
 
+def test_mil_parts_of_long_texts_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(6)
+    long = "  " + " ".join(cases.word(rng) for _ in range(3000)) + " " + "q" * 900 + "\n\n" + " ".join(cases.word(rng) for _ in range(100))
+    texts = pa.array(["a b", long, "", None, "z " * 65])
+    whole = mil.passages(texts)
+    monkeypatch.setattr(mil, "CHUNK_BYTES", 700)
+    parts = mil.passages(texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and np.diff(parts[1]).tolist() == [1, 49, 1, 1, 2]
+    data = [(1, "good words here")] * 10_000 + [(2, "bad $$$ words"), (3, "more good words"), (4, long)]
+    many, labels = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "fit", lambda bags, y: seen.append((len(bags), sum(map(len, bags)))) or mil.Model(1.0))
+    mil.train(many, labels)
+    mil.train(many, labels, sample_bytes=200)
+    assert seen[0][0] == len([i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]) and seen[1][0] < seen[0][0]
+
+
 # ---- secrets ------------------------------------------------------------------------
 
 
@@ -138,6 +155,15 @@ def test_secrets_match_brute_force(docs, empty):
     assert {k for _, k, v in kinds if v == "Abc123/+=xyz"} == {"assign", "live"}
 
 
+def test_secret_ownership_by_owners_and_repositories(spark):
+    """One repository of two owners counts once; two owners make an example over enough repositories, one owner never."""
+    held = {"TWOOWNERS1repo0000": [("a", "r"), ("b", "r")], "TWOOWNERS4repos000": [("a", "r1"), ("a", "r2"), ("b", "r3"), ("b", "r4")], "ONEOWNER9repos0000": [("a", f"r{i}") for i in range(9)], "THREEOWNERS1repo00": [(c, "r") for c in "abc"]}
+    data = [(i, f"secret={v}", o, r) for i, (v, o, r) in enumerate((v, o, r) for v, x in held.items() for o, r in x)]
+    got = secrets.scan_secrets(spark.createDataFrame(data, "doc_id long, text string, source string, repo string"), repository=F.col("repo")).collect()
+    said = {x.value: (x.kind, x.owners, x.repositories) for r in got for x in r.found if x.owners}
+    assert said == {"TWOOWNERS1repo0000": ("live", 2, 1), "TWOOWNERS4repos000": ("example", 2, 4), "ONEOWNER9repos0000": ("live", 1, 9), "THREEOWNERS1repo00": ("example", 3, 1)}
+
+
 # ---- language model -----------------------------------------------------------------
 
 
@@ -416,6 +442,35 @@ def test_shards(docs, empty, bucket):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and len(by) == 8
 
 
+def test_shards_do_not_depend_on_the_split(spark):
+    """Places of rows with and without copies, from 1 and from 4 splits, and copies beyond what a bucket may hold."""
+    data = [(i, f"text {i} " * (i % 9)) for i in range(300)] + [(7, "copy")] * 50 + [(None, None)] * 40
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    place = lambda x, **more: sorted((str(r.doc_id), str(r.text), r["__shard"], r["__shard_slot"]) for r in sharding.shard_documents(x, 8, bucket_bytes=1500, **more).collect())
+    assert place(df.coalesce(1)) == place(df.repartition(4, "text")) == place(df.repartition(3))
+    few = place(df.coalesce(1), copies=8)
+    assert few == place(df.repartition(5), copies=8) and sorted(x[:2] for x in few) == sorted((str(d), str(t)) for d, t in data)
+    assert len({x[2] for x in few if x[1] == "copy"}) == 8
+
+
+def test_write_shards(spark, docs, tmp_path):
+    out = sharding.write_shards(docs.select("doc_id", "text"), f"{tmp_path}/shards")
+    assert out.count() == len(PAIRS) and {r["__shard"] for r in out.collect()} == set(range(8))
+
+
+def test_shard_query_against_a_direct_computation(spark):
+    from strataweave.llm import sharding_query
+
+    sf = "/root/testdata/sf0.001"
+    old = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sharding_query.op10_shards(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {d: (len(t) + 1, zlib.crc32(t), "rows", None) for d, t in old.items()}
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sorted(by) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_fisher_yates_is_a_uniform_permutation():
     from collections import Counter
 
