@@ -2,23 +2,33 @@
 
 Vectors are turned into integers, and the score is the integer inner product.
 A query sees one list per component with a weight other than 0: the candidates
-by their part of the score, largest first.  The lists are read in sequence, all
-to the same depth.  A candidate's lower bound adds the least part of every list
-it was not seen in, its upper bound the part at which that list stands.  Once
-the upper bounds of all but a few candidates are below the k-th lower bound,
-reading stops, and the final scores of those few are resolved.  Candidates whose
-upper bound equals the k-th lower bound stay in, so ties go to smaller ids.
-
-Queries and candidates go in blocks of bounded size; each pair of blocks is one
-group, sorts its lists once and gives at most k candidates per query, which a
-window per query merges.  That is the whole query set against all rows in
-blocks: work and traffic grow with queries times rows, memory with a block.
-
-Defined cases: vectors that are null, empty or hold null or non-finite
-components take no part; vectors of different length are compared as if padded
-with zeros; repeated rows are candidates (and queries) each; a null id is a
-candidate that loses ties and no query; a query with fewer candidates than k
-gets all; an empty table gives no row.
+by their part of the score, largest first.  The lists are read in sequence, in
+rounds: each goes on to where its parts come within a level of its least part,
+and the level falls from round to round, so lists of large weights are read
+ahead.  A candidate's lower bound adds the least part of every list it was not
+seen in, its upper bound the level (or the list's first part, if nothing was
+read).  Only what a round reads changes the bounds.  Candidates whose upper
+bound is below the k-th lower bound are out; once at most ``FEW`` times k are
+left, reading stops and their final scores are resolved.  Candidates whose upper
+bound equals the k-th lower bound stay in, so ties go to smaller ids.
+
+Candidates go in blocks of bounded size, one block a task; a block's lists are
+sorted once, and the queries stream past them, so no candidate is copied and a
+task holds one block and one batch of queries.  A block gives k candidates per
+query, which a window per query merges.  That is the whole query set against
+all rows in blocks: work grows with queries times rows.
+
+Bounds are sums of integers in double precision, exact below 2**53; beyond, they
+are widened by more than their rounding.  Final scores are exact integers of any
+size and ranked as such; the column is a long, and a score beyond it is the
+nearest long.
+
+Defined cases: vectors that are null or hold null or non-finite components take
+no part; vectors of different length are compared as if padded with zeros, so an
+empty one scores 0 with all; components of 2**290 or more are an error; repeated
+rows are candidates (and queries) each; a null id is a candidate that loses ties
+and no query; a query with fewer candidates than k gets all; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -33,18 +43,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strataweave.llm.words import ragged
 from strataweave.session import written
 
 SCALE = 256
-CANDIDATES, QUERIES = 16_384, 1_024
-#: Depths at which bounds are compared, as parts of the lists; then the lists are read to their ends.
-DEPTHS = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4)
-#: Candidates that are resolved when reading stops, and queries that are bounded together.
-RESOLVED, TOGETHER = 512, 64
+CANDIDATES = 4096
+#: Levels of the rounds, as parts of the widest list; the last one reads the lists to their ends.
+LEVELS = (0.45, 0.35, 0.28, 0.22, 0.17, 0.13, 0.1, 0.07, 0.05, 0.03, 0.015, 0)
+#: Candidates for each of the k that are resolved when reading stops.
+FEW = 16
+LARGEST = 2.0**290 * SCALE
+_ORDER_BYTES = 80  # of a score and its sign: products of two such components, and their sum
 
 
 def integer_vectors(table: DataFrame, vector: str, key: str, is_query: Column, scale: int = SCALE) -> DataFrame:
-    """The written vectors that take part: __row, __id, __query, __vec (packed 64-bit integers)."""
+    """The written vectors that take part: __row, __id, __query, __vec (packed integers in double precision)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +65,9 @@ def integer_vectors(table: DataFrame, vector: str, key: str, is_query: Column, s
             out = []
             for x in rows:
                 v = None
-                if x.is_valid and len(x.values) and x.values.null_count == 0:
-                    v = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(float))
-                    v = v.astype("<i8").tobytes() if np.isfinite(v).all() else None
+                if x.is_valid and x.values.null_count == 0:
+                    v = x.values.to_numpy(zero_copy_only=False).astype("<f8")
+                    v = np.floor(scale * v).tobytes() if _takes_part(v) else None
                 out.append(v)
             vec = pa.array(out, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec], ["__id", "__query", "__vec"]).filter(pc.is_valid(vec))
@@ -65,10 +78,18 @@ def integer_vectors(table: DataFrame, vector: str, key: str, is_query: Column, s
     return written(rows.withColumn("__row", F.monotonically_increasing_id()), "vectors")
 
 
+def _takes_part(v: np.ndarray) -> bool:
+    if not np.isfinite(v).all():
+        return False
+    if len(v) and np.abs(v).max() >= LARGEST / SCALE:
+        raise ValueError("a component of a vector is 2**290 or more")
+    return True
+
+
 def _matrix(packed: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(packed), width), np.int64)
+    out = np.zeros((len(packed), width))
     for i, x in enumerate(packed):
-        v = np.frombuffer(x, "<i8")
+        v = np.frombuffer(x, "<f8")
         out[i, : len(v)] = v
     return out
 
@@ -77,95 +98,121 @@ class Lists:
     """The candidates of a block, sorted by each component.
 
     A list of a positive weight is read from the high end of its component, one
-    of a negative weight from the low end.  What all queries know after reading
-    to one depth is three products of their weights with the parts of the
-    vectors that lie within that depth, so depths are taken for many queries at
-    once.  All numbers are integers in double precision, exact below 2**53.
+    of a negative weight from the low end.  ``ended`` counts the queries whose
+    lists were read to their ends, ``asked`` all queries.
     """
 
     def __init__(self, x: np.ndarray) -> None:
-        self.x, n = x, len(x)
+        self.x, self.n = x, len(x)
         order = np.argsort(x, axis=0, kind="stable")
         self.place = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], 0)
-        self.sorted = np.take_along_axis(x, order, 0).astype(float)
-
-    def _read(self, depth: int) -> tuple[np.ndarray, ...]:
-        """To this depth: the parts and the marks of what lies at the high and at the low ends."""
-        inside = np.concatenate([self.place >= len(self.x) - depth, self.place < depth], 1).astype(float).T
-        return inside * np.concatenate([self.x, self.x], 1).T, inside
-
-    def top(self, q: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per query (row of q) the k best candidates but ``own`` (-1: none), and their scores; ``ids`` ranks equal scores."""
-        n, out = len(self.x), [None] * len(q)
-        waiting = np.arange(len(q))
-        for fraction in DEPTHS if n > max(RESOLVED, k + 1) else ():
-            depth = int(n * fraction)
-            parts, inside = self._read(depth)
-            after = []
-            for i in range(0, len(waiting), TOGETHER):
-                some = waiting[i : i + TOGETHER]
-                up, down = np.maximum(q[some], 0).astype(float), np.minimum(q[some], 0).astype(float)
-                w = np.concatenate([up, down], 1)
-                least = np.concatenate([up * self.sorted[0], down * self.sorted[-1]], 1)
-                stands = np.concatenate([up * self.sorted[n - depth - 1], down * self.sorted[depth]], 1)
-                known = w @ parts
-                lower = known - least @ inside + least.sum(1, keepdims=True)
-                upper = known - stands @ inside + stands.sum(1, keepdims=True)
-                mine = np.flatnonzero(own[some] >= 0)
-                lower[mine, own[some][mine]] = upper[mine, own[some][mine]] = -np.inf
-                kth = np.partition(lower, n - k, 1)[:, n - k]
-                left = upper >= kth[:, None]
-                few = left.sum(1) <= RESOLVED
-                for j in np.flatnonzero(few):
-                    out[some[j]] = self._resolved(q[some[j]], np.flatnonzero(left[j]), k, ids)
-                after.append(some[~few])
-            waiting = np.concatenate(after)
-            if not len(waiting):
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(x, order, 0).T)
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        self.most = np.abs(x).max(0) if len(x) else np.zeros(x.shape[1])
+        self.asked = self.ended = 0
+
+    def top(self, q: np.ndarray, k: int, own: int, ids: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The k best candidates but ``own`` (-1: none) for the weights q, and their scores; ``ids`` ranks equal scores."""
+        self.asked += 1
+        n, lists = self.n, np.flatnonzero(q)
+        alive = np.flatnonzero(np.arange(n) != own)
+        if not len(alive):
+            return alive, []
+        w = q[lists]
+        bound = float((np.abs(w) * self.most[lists]).sum())
+        slack = 0.0 if bound < 2.0**51 else bound * (len(w) + 4) * 2.0**-50
+        high = w > 0
+        values, base = self.sorted.ravel(), lists * n
+        first, last = np.where(high, values[base], values[base + n - 1]), np.where(high, values[base + n - 1], values[base])
+        least, reach = w * first, w * (last - first)  # of each list: its least part, and how far its largest is above
+        place = np.where(high, n - 1 - self.place[:, lists], self.place[:, lists])
+        lower, read = np.full(n, least.sum()), np.zeros(len(w), np.int64)
+        for part in LEVELS if len(w) else ():
+            if len(alive) <= FEW * k:
                 break
-        for j in waiting:  # the lists are read to their ends
-            out[j] = self._resolved(q[j], np.flatnonzero(np.arange(n) != own[j]), k, ids)
-        return out
-
-    def _resolved(self, q: np.ndarray, some: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scores = self.x[some] @ q
-        best = np.lexsort((ids[some], -scores))[:k]
-        return some[best], scores[best]
+            level = part * reach.max()
+            # read on, in every list, while parts are above its least one by more than the level
+            ends = [_beyond(values[b : b + n], f + level / x, x > 0) for b, f, x in zip(base, first, w)]
+            now = np.maximum(read, ends)
+            start = base + np.where(high, n - now, read)
+            some = ragged(start, now - read)
+            parts = values[some] * np.repeat(w, now - read) - np.repeat(least, now - read)
+            lower += np.bincount(self.order.ravel()[some], parts, n)
+            read = now
+            # an unseen part is below the level, or the first of a list of which nothing was read
+            upper = lower[alive] + (place[alive] >= read) @ np.where(read >= n, 0, np.minimum(level, reach))
+            kth = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
+            alive = alive[upper + slack >= kth - slack]
+        else:
+            self.ended += 1
+        return self._resolved(q, alive, k, ids, bound)
+
+    def _resolved(self, q: np.ndarray, some: np.ndarray, k: int, ids: np.ndarray, bound: float) -> tuple[np.ndarray, list[int]]:
+        if bound < 2.0**51:
+            scores = self.x[some] @ q
+        elif bound < 2.0**62:
+            used = np.flatnonzero(q)
+            scores = self.x[np.ix_(some, used)].astype(np.int64) @ q[used].astype(np.int64)
+        else:
+            weights = [int(v) for v in q]
+            scores = np.array([sum(a * int(b) for a, b in zip(weights, row) if a) for row in self.x[some]], object)
+        best = sorted(range(len(some)), key=lambda i: (-scores[i], ids[some[i]]))[:k] if scores.dtype == object else np.lexsort((ids[some], -scores))[:k]
+        return some[best], [int(scores[i]) for i in best]
+
+
+def _beyond(values: np.ndarray, at: float, high: bool) -> int:
+    """How many of the ascending values are above ``at`` (below it, for lists read from the low end)."""
+    return len(values) - int(np.searchsorted(values, at, "right")) if high else int(np.searchsorted(values, at, "left"))
+
+
+def _order(score: int) -> bytes:
+    """Bytes that compare as the scores do."""
+    return (score + (1 << (8 * _ORDER_BYTES - 1))).to_bytes(_ORDER_BYTES, "big")
 
 
 def _blocks(column: str, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def top_k(table: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", is_query: Column | None = None, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(table: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", is_query: Column | None = None, scale: int = SCALE, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, the candidate's key, score."""
+    spark = table.sparkSession
     rows = integer_vectors(table, vector, key, F.col(key) % 50 == 0 if is_query is None else is_query, scale)
-    sizes = rows.agg(F.count("*"), F.count(F.when(F.col("__query"), 1)), F.max(F.octet_length("__vec"))).first()
-    n_blocks, q_blocks, width = max(1, math.ceil(sizes[0] / candidates)), max(1, math.ceil(sizes[1] / queries)), (sizes[2] or 0) // 8
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = rows.select(_blocks("__row", n_blocks).alias("__c"), each(q_blocks).alias("__q"), "__row", "__id", "__vec")
-    left = rows.filter("__query").select(each(n_blocks).alias("__c"), _blocks("__row", q_blocks).alias("__q"), "__row", "__id", "__vec")
-    # one column each, so that no plan drops a part of what the search reads
-    left, right = (side.select("__c", "__q", F.struct("__row", "__id", "__vec").alias(name)) for side, name in ((left, "__asked"), (right, "__there")))
-
+    n, size = rows.agg(F.count("*"), F.max(F.octet_length("__vec"))).first()
+    blocks, width = max(1, math.ceil(n / candidates)), (size or 0) // 8
     kind, arrow = table.schema[key].dataType.simpleString(), to_arrow_type(table.schema[key].dataType)
+    there = rows.select(_blocks("__row", blocks).alias("__block"), F.lit(False).alias("__asks"), "__row", "__id", "__vec")
+    asked = rows.filter("__query").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"), F.lit(True).alias("__asks"), "__row", "__id", "__vec")
+    met = there.unionByName(asked).repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "__block").sortWithinPartitions("__block", "__asks")
 
-    def search(asked: pa.Table, there: pa.Table) -> pa.Table:
-        out = []
-        asked, there = (t.column(c).combine_chunks().flatten() if t.num_rows else None for t, c in ((asked, "__asked"), (there, "__there")))
-        if asked and there:
-            q_rows, q_ids, q_vecs = (c.to_pylist() for c in asked)
-            c_rows, ids, vecs = (c.to_pylist() for c in there)
-            rank = np.empty(len(ids), np.int64)
-            rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(len(ids))
-            lists = Lists(_matrix(vecs, width))
-            place = {r: i for i, r in enumerate(c_rows)}
-            own = np.array([place.get(r, -1) for r in q_rows])
-            for r, ident, (found, scores) in zip(q_rows, q_ids, lists.top(_matrix(q_vecs, width), k, own, rank)):
-                out += [(r, ident, ids[i], int(s)) for i, s in zip(found.tolist(), scores.tolist())]
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), arrow, arrow, pa.int64()))], ["__row", "query_id", key, "score"])
-
-    found = left.groupBy("__c", "__q").cogroup(right.groupBy("__c", "__q")).applyInArrow(search, f"__row long, query_id {kind}, `{key}` {kind}, score long")
-    order = Window.partitionBy("__row").orderBy(F.desc("score"), F.asc_nulls_last(key))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, lists = None, [], None
+        for batch in batches:
+            at = np.flatnonzero(np.diff(batch.column(0).to_numpy(), prepend=-1))
+            for a, b in zip(at, [*at[1:], batch.num_rows]):
+                own = batch.slice(a, b - a)
+                if own.column(0)[0].as_py() != block:
+                    block, held, lists = own.column(0)[0].as_py(), [], None
+                asks = own.column(1).to_numpy(zero_copy_only=False)
+                first = int(asks.argmax()) if asks.any() else len(asks)
+                held.append(own.slice(0, first))
+                if first == len(asks):
+                    continue
+                if lists is None:
+                    c_rows, ids, vecs = (sum((h.column(c).to_pylist() for h in held), []) for c in (2, 3, 4))
+                    rank = np.empty(len(ids), np.int64)
+                    rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(len(ids))
+                    place, lists = {r: i for i, r in enumerate(c_rows)}, Lists(_matrix(vecs, width))
+                    held = []
+                out = []
+                q_rows, q_ids, q_vecs = (own.slice(first).column(c).to_pylist() for c in (2, 3, 4))
+                for r, ident, q in zip(q_rows, q_ids, _matrix(q_vecs, width)):
+                    found, scores = lists.top(q, k, place.get(r, -1), rank)
+                    out += [(r, ident, ids[i], max(-(2**63), min(2**63 - 1, s)), _order(s)) for i, s in zip(found.tolist(), scores)]
+                columns = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), arrow, arrow, pa.int64(), pa.binary()))], ["__row", "query_id", key, "score", "__order"])
+
+    found = met.mapInArrow(search, f"__row long, query_id {kind}, `{key}` {kind}, score long, __order binary")
+    order = Window.partitionBy("__row").orderBy(F.desc("__order"), F.asc_nulls_last(key))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
