@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -333,8 +334,8 @@ def test_coded_round_trip():
 
 
 def test_pii(docs, empty):
-    assert pii.with_surrogates(empty).count() == 0
-    out = pii.with_surrogates(docs)
+    assert pii.with_surrogates(empty, b"k").count() == 0
+    out = pii.with_surrogates(docs, b"k")
     assert out.columns == [*docs.columns, "__pii_n", "__pii_spans"]
     old = {}
     for d, t in PAIRS:
@@ -357,8 +358,8 @@ def test_pii(docs, empty):
 
 def test_pii_collisions_are_redrawn(spark):
     """One-letter addresses: 20 entities into 26 places, none of them an entity."""
-    found = spark.createDataFrame([(i, "email", f"{c}@a.io") for i, c in enumerate("abcdefgh")], "id long, kind string, entity string")
-    got = pii.settled(found).collect()
+    found = spark.createDataFrame([(i, "email", f"{c}@a.io") for i, c in enumerate("abcdefgh")], "id long, kind string, entity string").withColumn("gender", F.lit(""))
+    got = pii.settled(found, b"k").collect()
     new = [r.new for r in got]
     assert len(set(new)) == len(new) == 8 and not set(new) & {r.entity for r in got}
 
@@ -370,15 +371,60 @@ def test_pii_formats():
     assert kinds(new) == kinds(t) and "192.168." in new
     iban = next(e for _, _, k, e, _ in pii.entities(new) if k == "iban")
     assert pii._mod97(iban[4:] + iban[:4]) == 1
-    for clean in ("version 1.2.3.4.5 of 2024-01-02", "a sum of 12345 and 3.14159265", "Miss", "C:\\x"):
+    for clean in ("version 1.2.3.4.5 of 2024-01-02", "a sum of 12345 and 3.14159265", "Miss", "C:\\x", "std::dec a::b Dead::Beef", "at 12:30:45 sharp"):
         assert pii.replaced(clean, {}, b"k")[0] == clean
 
 
+def test_pii_full_formats_are_widened(spark):
+    """12 of the 16 addresses of a form occur, so that 8 at least must leave it; the same for a network of 65,536."""
+    data = [("ipv6", f"::{c}") for c in "123456789abc"] + [("ipv4", f"192.168.{i % 200}.{i // 200}") for i in range(34_000)]
+    found = spark.createDataFrame([(i, k, e, "") for i, (k, e) in enumerate(data)], "id long, kind string, entity string, gender string")
+    got = pii.settled(found, b"k").collect()
+    new = {(r.kind, r.new) for r in got}
+    assert len(got) == len(new) == len(data) and not new & set(data)
+    assert all(r.new.startswith(("192.168.", "10.")) for r in got if r.kind == "ipv4")
+
+
+def test_pii_people(spark):
+    """Independent of the module's own finding: one surrogate a person, none of the words left, clean words kept."""
+    texts = ["Dr Anna Smith met Mrs Anna Smith. Smith left. Anna Smith smiled, as SMITH's dog did.", "Prof. Anna Lee and Mr Lee", "Mr. J. Smith wrote; J. stayed", "My name is Boris Blacksmith. The blacksmith left.", "No Smith is known here", "Herr Anton Groß und Frau Groß"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.with_surrogates(docs, b"k").collect()}
+    a = re.fullmatch(r"Dr (\w+) (\w+) met Mrs (\w+) (\w+)\. (\w+) left\. (\w+) (\w+) smiled, as (\w+)'s dog did\.", new[0])
+    given, family = a[1], a[2]
+    assert a.groups() == (given, family, given, family, family, given, family, family.upper()) and given.endswith("lia")
+    b = re.fullmatch(r"Prof\. (\w+) (\w+) and Mr (\w+)", new[1])
+    assert b[1] == given and b[2] == b[3] != family
+    c = re.fullmatch(r"Mr\. (\w)\. (\w+) wrote; J\. stayed", new[2])
+    assert c[1] != "J" and c[2] == family
+    assert re.fullmatch(r"My name is (\w+) (\w+)\. The blacksmith left\.", new[3]) and "Boris" not in new[3] and "Blacksmith" not in new[3]
+    assert new[4] == texts[4]
+    d = re.fullmatch(r"Herr (\w+) (\w+) und Frau (\w+)", new[5])
+    assert d[2] == d[3] and d[1].endswith("n") and len({given, family, b[2], d[1], d[2]}) == 5
+    assert {r.doc_id: r.text for r in pii.with_surrogates(docs, b"other").collect()}[0] != new[0]
+
+
+def test_pii_query_replaces_planted_data(spark):
+    """Patterns of their own, not the operator's: what they find in the old texts is in none of the new ones."""
+    from strataweave.llm import pii_query
+
+    sf = "/root/testdata/sf0.001"
+    old = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = pii_query.op7_pii_surrogates(spark, sf).collect()
+    plain = [r"[\w.]+@[\w.]+\.\w+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.])", r"\b\d{3}-\d\d-\d{4}\b", r"\b\d{4} \d{4} \d{4} \d{4}\b"]
+    values = {v for t in old.values() for p in plain for v in re.findall(p, t)}
+    assert len(values) > 3 and len(got) == len(old)
+    for r in got:
+        assert not any(v in (r.text or "") for v in values)
+        if not r.n_entities:
+            assert (r.text or "") == old[r.doc_id] and not any(v in old[r.doc_id] for v in values)
+
+
 def test_pii_neighbours():
     """Each entity is found whole, and as the same entity, beside one of any kind."""
-    one = ["bob.lee@site.org", "GB82 WEST 1234 5698 7654 32", "00:1A:2b:3c:4d:5e", "2001:db8:0:1:2:3:4:5", "10.20.30.40", "190.137.223.204", "123-45-6789", "Mr. John Smith"]
+    one = ["bob.lee@site.org", "GB82 WEST 1234 5698 7654 32", "00:1A:2b:3c:4d:5e", "2001:db8:0:1:2:3:4:5", "2001:db8::abcd", "fe80::1:2", "10.20.30.40", "190.137.223.204", "123-45-6789", "Mr. John Smith"]
     one += ["+1 (826) 555-4081", "+44 20 7946 0958", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+49 30 1234 5678", "+7 (495) 123-45-67", "(212) 555-0199", "212-555-0199"]
-    one += ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467"]
+    one += ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467", "3782 822463 10005", "1-800-555-1234"]
     said = lambda text: [(k, e, v) for _, _, k, e, v in pii.entities(text)]
     for a in one:
         assert said(a)
