@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm import jaccard, mil, mixing, packing, pii
 from strataweave.llm.packing_query import tokenizer_path
+from strataweave.llm.pii_query import secret
 from strataweave.session import read_table, written
 
 
@@ -39,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars counts the new text."""
-    out = pii.with_surrogates(docs)
+    out = pii.with_surrogates(docs, secret(spark))
     return out.withColumn("n_chars", F.when(F.col("__pii_n") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
