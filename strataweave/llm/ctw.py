@@ -13,7 +13,7 @@ Beside it, words give the add-one unigram score.
 How it is spread out.  Texts go into blocks of bounded bytes, written once.
 Every block lists its distinct words and its distinct strings of a context and a
 byte with their training counts; these are all that is gathered from the corpus, and they grow
-with it.  Words are summed over blocks by one window per word.  The strings are
+with it.  Words are summed over blocks and joined back to them.  The strings are
 summed, then grouped by the two bytes before the last: a group holds all levels
 of the tree from two bytes on; how many strings it has grows with the depth and
 the corpus (at most 65,536 for contexts of 3 bytes).  The two upper levels
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm import words
@@ -378,9 +378,9 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int
     keys = rows.filter("__key is not null").select("__block", "__at", "__key", "__n")
     mark = F.substring("__key", 1, 1)
     found = keys.filter(mark == F.lit(b"w"))
-    own = Window.partitionBy("__key")
-    first = F.row_number().over(own.orderBy("__block")) == 1
-    sums = found.select("__block", "__at", "__n", F.sum("__n").over(own).cast("double").alias("value"), first.alias("__first"))
+    totals = written(found.groupBy("__key").agg(F.sum("__n").alias("value")), "lm-totals")
+    # a common word has a row in every block; the join can be split, a window per word could not
+    sums = found.select("__block", "__at", "__key").join(totals, "__key").select("__block", "__at", F.col("value").cast("double").alias("value"))
     sums = written(sums, "lm-words")
     strings = keys.filter(mark == F.lit(b"g"))
     model = string_model(written(strings.groupBy("__key").agg(F.sum("__n").alias("__n")), "lm-strings"), depth)
@@ -389,7 +389,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int
     slices = sums.select("__block", F.lit(True).alias("__word"), F.col("__at").cast("long").alias("__i"), "value").unionByName(
         logs.select("__block", F.lit(False).alias("__word"), code.alias("__i"), "value")
     )
-    said = sums.agg(F.sum("__n"), F.sum((F.col("__first") & (F.col("value") > 0)).cast("long"))).first()
+    said = totals.agg(F.sum("value"), F.count_if(F.col("value") > 0)).first()
     texts = rows.filter("__key is null").select("__block", "__at", "doc_id", F.col("__held").alias("held_out"), "text")
     ends = texts.filter("not held_out").count()
     total, kinds = (said[0] or 0) + ends, (said[1] or 0) + (ends > 0)

@@ -26,9 +26,11 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ END = 0
 BANDS = 12
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 800_000
+#: Runs of equal pieces that are broadcast, 24 bytes each.
+MOST_RUNS = 4_000_000
 _TOKENIZERS: dict[str, tuple] = {}
 PUNCTUATION = ".,!?;:"
 
@@ -61,13 +65,31 @@ def _tokenizer(path: str):
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, {"": b""}, ends)
+        _TOKENIZERS[path] = (tokenizer, {"": b""}, ends, cuts_at_words(path))
     return _TOKENIZERS[path]
 
 
+# What a tokenizer file says whose texts may be cut at white space and lower-cased word by word.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "suffix": "</w>",
+}
+
+
+def cuts_at_words(path: str) -> bool:
+    """Whether the file is of the kind that ``word_ids`` knows; texts of others are encoded whole."""
+    said = json.loads(Path(path).read_text(encoding="utf-8"))
+    added = all(not a["content"].strip("<|>").isspace() and " " not in a["content"] for a in said.get("added_tokens") or [])
+    return added and {"normalizer": said.get("normalizer"), "pre_tokenizer": said.get("pre_tokenizer"), "suffix": said["model"].get("end_of_word_suffix")} == BY_WORDS
+
+
 def _learn_cores(path: str, cores: list[str]) -> None:
     """Encode words of letters in one go; each is one pre-token, so its last id ends a word."""
-    tokenizer, known, ends = _tokenizer(path)
+    tokenizer, known, ends, _ = _tokenizer(path)
     for i in range(0, len(cores), 20_000):
         some = cores[i : i + 20_000]
         ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -82,7 +104,7 @@ def _learn_cores(path: str, cores: list[str]) -> None:
 
 
 def _learn(path: str, some: list[str]) -> None:
-    tokenizer, known, _ = _tokenizer(path)
+    tokenizer, known, *_ = _tokenizer(path)
     for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
         known[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -122,6 +144,9 @@ def word_ids(path: str, found: list[str]) -> list[bytes]:
 
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk of texts, and where each row's ids start (rows + 1)."""
+    if not _tokenizer(path)[3]:
+        found = [np.array(e.ids, "<u4") for e in _tokenizer(path)[0].encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*found, np.empty(0, "<u4")]), np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
     values, codes, rows = words.numbered(texts, lower=False)
     coded = word_ids(path, values.to_pylist())
     lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
@@ -263,6 +288,9 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     upto = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(upto), F.lit(0)).cast("long")).drop("__n")
     ranked = cut.join(starts, ["__part", "length"]).withColumn("__rank", F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    # lengths by gaps decide how many runs there are, not the corpus
+    if len(placed) > MOST_RUNS:
+        raise ValueError(f"{len(placed)} runs of pieces are more than the {MOST_RUNS} that may be broadcast")
     share = cut.sparkSession.sparkContext.broadcast(runs)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -297,6 +298,23 @@ def test_word_ids_are_the_tokenizers():
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    root = Path(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.cuts_at_words(str(root))
+    texts = ["Hello  World", "", "don't\n stop", "x"]
+    for path in sorted(root.parent.glob("*.json")):
+        try:
+            t = Tokenizer.from_file(str(path))
+        except Exception:  # another kind of file
+            continue
+        ids, at = packing.token_ids(str(path), pa.array(texts))
+        for i, x in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 # ---- near duplicates --------------------------------------------------------------------
 
 
