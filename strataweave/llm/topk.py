@@ -43,15 +43,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strataweave.llm.words import ragged
 from strataweave.session import written
 
 SCALE = 256
-CANDIDATES = 4096
+CANDIDATES = 8192
 #: Levels of the rounds, as parts of the widest list; the last one reads the lists to their ends.
-LEVELS = (0.45, 0.35, 0.28, 0.22, 0.17, 0.13, 0.1, 0.07, 0.05, 0.03, 0.015, 0)
+LEVELS = (0.25, 0.16, 0.1, 0.06, 0.03, 0)
 #: Candidates for each of the k that are resolved when reading stops.
-FEW = 16
+FEW = 32
 LARGEST = 2.0**290 * SCALE
 _ORDER_BYTES = 80  # of a score and its sign: products of two such components, and their sum
 
@@ -105,10 +104,8 @@ class Lists:
     def __init__(self, x: np.ndarray) -> None:
         self.x, self.n = x, len(x)
         order = np.argsort(x, axis=0, kind="stable")
-        self.place = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(x, order, 0).T)
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        self.sorted = list(np.ascontiguousarray(np.take_along_axis(x, order, 0).T))
+        self.order = list(np.ascontiguousarray(order.T))
         self.most = np.abs(x).max(0) if len(x) else np.zeros(x.shape[1])
         self.asked = self.ended = 0
 
@@ -121,27 +118,28 @@ class Lists:
             return alive, []
         w = q[lists]
         bound = float((np.abs(w) * self.most[lists]).sum())
-        slack = 0.0 if bound < 2.0**51 else bound * (len(w) + 4) * 2.0**-50
+        slack = 0.25 if bound < 2.0**51 else bound * (len(w) + 4) * 2.0**-50  # parts are integers, levels are not
         high = w > 0
-        values, base = self.sorted.ravel(), lists * n
-        first, last = np.where(high, values[base], values[base + n - 1]), np.where(high, values[base + n - 1], values[base])
+        low, top = (np.array([self.sorted[j][at] for j in lists], float) for at in (0, -1))
+        first, last = np.where(high, low, top), np.where(high, top, low)
         least, reach = w * first, w * (last - first)  # of each list: its least part, and how far its largest is above
-        place = np.where(high, n - 1 - self.place[:, lists], self.place[:, lists])
-        lower, read = np.full(n, least.sum()), np.zeros(len(w), np.int64)
-        for part in LEVELS if len(w) else ():
+        lower, unseen = np.full(n, least.sum()), np.zeros(n)
+        levels = np.array(LEVELS) * (reach.max() if len(w) else 0)
+        # in every list and round, read on while parts are above the list's least one by more than the level
+        upto = [n - self.sorted[j].searchsorted(f + levels / x, "right") if x > 0 else self.sorted[j].searchsorted(f + levels / x, "left") for j, x, f in zip(lists, w, first)]
+        upto = np.maximum.accumulate(np.reshape(upto, (len(w), len(levels))), 1)
+        before = np.zeros(len(w), np.int64)
+        for level, now in zip(levels, upto.T) if len(w) else ():
             if len(alive) <= FEW * k:
                 break
-            level = part * reach.max()
-            # read on, in every list, while parts are above its least one by more than the level
-            ends = [_beyond(values[b : b + n], f + level / x, x > 0) for b, f, x in zip(base, first, w)]
-            now = np.maximum(read, ends)
-            start = base + np.where(high, n - now, read)
-            some = ragged(start, now - read)
-            parts = values[some] * np.repeat(w, now - read) - np.repeat(least, now - read)
-            lower += np.bincount(self.order.ravel()[some], parts, n)
-            read = now
-            # an unseen part is below the level, or the first of a list of which nothing was read
-            upper = lower[alive] + (place[alive] >= read) @ np.where(read >= n, 0, np.minimum(level, reach))
+            slabs = [(j, slice(b, e)) for j, b, e in zip(lists.tolist(), np.where(high, n - now, before).tolist(), np.where(high, n - before, now).tolist())]
+            seen, some = np.concatenate([self.order[j][x] for j, x in slabs]), np.concatenate([self.sorted[j][x] for j, x in slabs])
+            some = (some - np.repeat(first, now - before)) * np.repeat(w, now - before)  # above the least part, which all had from the start
+            lower += np.bincount(seen, some, n)
+            unseen -= np.bincount(seen, minlength=n)
+            before = now
+            # unseen parts: up to the level in lists that reach it, up to the first part in those of which nothing was read
+            upper = (lower + level * (unseen + (reach >= level).sum()))[alive] + reach[reach < level].sum()
             kth = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
             alive = alive[upper + slack >= kth - slack]
         else:
@@ -161,11 +159,6 @@ class Lists:
         return some[best], [int(scores[i]) for i in best]
 
 
-def _beyond(values: np.ndarray, at: float, high: bool) -> int:
-    """How many of the ascending values are above ``at`` (below it, for lists read from the low end)."""
-    return len(values) - int(np.searchsorted(values, at, "right")) if high else int(np.searchsorted(values, at, "left"))
-
-
 def _order(score: int) -> bytes:
     """Bytes that compare as the scores do."""
     return (score + (1 << (8 * _ORDER_BYTES - 1))).to_bytes(_ORDER_BYTES, "big")
