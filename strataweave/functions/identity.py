@@ -67,6 +67,50 @@ def alias_key(repository: Column, oid: Column, algorithm: Column) -> Column:
     return F.concat(F.lit(b"\x01"), repository, canonical_oid(oid, algorithm))
 
 
+def snapshot_key(repository: Column, snapshot: Column) -> Column:
+    return F.concat(F.lit(b"\x01"), repository, snapshot)
+
+
+def chunk_value(state: Column, size: Column, records: Column) -> Column:
+    return F.concat(F.lit(b"\x01"), big_endian(state, 1), big_endian(size, 8), big_endian(records, 8))
+
+
+def pin_key(pin: Column) -> Column:
+    """18 bytes; a workspace's pin has 17, so lengths tell them apart."""
+    return F.concat(F.lit(b"\x01\x01"), pin)
+
+
+def opaque_key(key: Column) -> Column:
+    return F.concat(F.lit(b"\x01"), key)
+
+
+def number(data: Column, at: int, width: int) -> Column:
+    """The big-endian number of ``width`` bytes at a place, counted from 0."""
+    return F.conv(F.hex(F.substring(data, at + 1, width)), 16, 10).cast("long")
+
+
+#: Fields of a location's value: name, place, bytes.
+LOCATION = (("generation", 1, 4), ("chunk_id", 5, 8), ("offset", 13, 8), ("record_length", 21, 8), ("stored_length", 29, 8), ("raw_length", 37, 8), ("kind", 45, 1), ("codec", 46, 1), ("flags", 47, 2), ("payload_crc32c", 49, 4))
+
+
+def decoded_location(value: Column) -> Column:
+    """The fields of a location's value; null unless length, version, kind and codec are right."""
+    good = (F.octet_length(value) == 53) & (number(value, 0, 1) == 1) & number(value, 45, 1).between(1, 4) & number(value, 46, 1).between(0, 1)
+    return F.when(good, F.struct(*[number(value, at, width).alias(name) for name, at, width in LOCATION]))
+
+
+def decoded_alias(key: Column) -> Column:
+    """struct(repository, algorithm, oid) of an alias key; null unless its lengths agree."""
+    algorithm, size = number(key, 17, 1), number(key, 18, 1)
+    good = (number(key, 0, 1) == 1) & (size == F.when(algorithm == 1, 20).when(algorithm == 2, 32)) & (F.octet_length(key) == size + 19)
+    return F.when(good, F.struct(F.substring(key, 2, 16).alias("repository"), algorithm.cast("int").alias("algorithm"), F.substring(key, F.lit(20), size.cast("int")).alias("oid")))
+
+
+def cid_of_name(name: Column) -> Column:
+    """The content identity that a file is named after, or null."""
+    return F.when(name.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(name))
+
+
 def fanout_path(cid_hex: Column) -> Column:
     """``aa/bb/aabb...``: where a cache keeps an object."""
     return F.concat_ws("/", F.substring(cid_hex, 1, 2), F.substring(cid_hex, 3, 2), cid_hex)

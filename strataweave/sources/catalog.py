@@ -1,9 +1,11 @@
 """A catalog of keyed tables with atomic commits over several tables.
 
 Every commit writes the tables it changes into a new version folder, validates
-all of them, and then moves one pointer file.  Readers resolve the pointer once,
-so they see a whole commit or none; a failed commit leaves an unreferenced
-folder.  Works on any Hadoop store with atomic rename of a file.
+all of them, and then moves one numbered pointer file to where none is.  Of two
+writers that read the same version only one gets the next number.  Readers take
+the highest number once, so they see a whole commit or none; a failed commit
+leaves an unreferenced folder.  Works on any Hadoop store whose rename of a file
+fails if the target is there.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.sources.files import Files
+
 # Tables, their columns and keys.
 TABLES = {
     "object_locations": ("content_id binary, generation long, chunk_id long, offset long, record_length long, stored_length long, raw_length long, kind int, codec int, flags int, payload_crc32c long", ["content_id"]),
@@ -38,19 +42,15 @@ class CatalogError(ValueError):
 class Catalog:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files = Files(spark)
+
+    def _commits(self) -> list[str]:
+        return [n for n in self.files.names(f"{self.root}/commits") if not n.startswith(".")]
 
     def _pointer(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return {}
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        """Where each table is at the last commit; its number is under ``#``."""
+        found = self._commits()
+        return json.loads(self.files.read(f"{self.root}/commits/{found[-1]}")) if found else {}
 
     def read(self, table: str, pointer: dict | None = None) -> DataFrame:
         """The table at the version the pointer names now."""
@@ -84,19 +84,11 @@ class Catalog:
                 now = now.join(new.select(key), key, "left_anti").select(names).unionByName(new)
             after[table] = f"{self.root}/{table}/{version}"
             now.select(names).write.parquet(after[table])
-        if self._pointer() != pointer:
-            raise CatalogError("another commit came first")
-        self._publish(after, version)
-
-    def _publish(self, pointer: dict[str, str], version: str) -> None:
-        staged = self._path(f"{self.root}/.CURRENT-{version}")
-        out = self._fs.create(staged)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(staged, self._path(f"{self.root}/CURRENT"), options)
+        after["#"] = pointer.get("#", 0) + 1
+        try:
+            self.files.write(f"{self.root}/commits/{after['#']:020d}", json.dumps(after).encode(), new=True)
+        except FileExistsError as first:
+            raise CatalogError("another commit came first") from first
 
     def validate(self) -> None:
         """Keys are unique and not null in every table."""

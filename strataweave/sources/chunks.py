@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.crc import crc32c, crc32c_many
 from strataweave.functions.identity import DOMAIN, KINDS
+from strataweave.sources.files import Files
 
 # Fixed values of the format.
 CHUNK_MAGIC, SEAL_MAGIC, RECORD_MAGIC, END_MAGIC = b"RFSCHNK\0", b"RFSSEAL\0", b"ROBJ", b"RENDOBJ\0"
@@ -234,9 +235,11 @@ class Scan:
     end: int = CHUNK_HEADER
     sealed: bool = False
     error: str | None = None
+    #: The record that stopped it is whole, but its object is not what it says.
+    whole: bool = False
 
 
-def scan_file(data: bytes, sealed: bool, strict: bool, verify: bool = False) -> Iterator[tuple[int, Record] | Scan]:
+def scan_file(data: bytes, sealed: bool, strict: bool, verify: bool = False, domain: str = DOMAIN) -> Iterator[tuple[int, Record] | Scan]:
     """(offset, record) of each record, then the Scan.
 
     Strict: the first bad record, or a seal that doesn't agree, is an error.
@@ -250,9 +253,9 @@ def scan_file(data: bytes, sealed: bool, strict: bool, verify: bool = False) ->
     for i, (at, record) in enumerate(found):
         if verify:
             try:
-                restored(record)
+                restored(record, domain)
             except FormatError as why:
-                out.records, out.end, out.error = i, at, str(why)
+                out.records, out.end, out.error, out.whole = i, at, str(why), True
                 break
         yield at, record
     if out.error and strict:
@@ -307,8 +310,12 @@ def read_chunks(spark: SparkSession, root: str, **options) -> DataFrame:
     return scan(files, **options)
 
 
-def reports(files: DataFrame) -> DataFrame:
-    """Per file: records, retained and cut bytes, and what recovery or verification does about it."""
+def reports(files: DataFrame, domain: str = DOMAIN) -> DataFrame:
+    """Per file: records, retained and cut bytes, and what recovery or verification does about it.
+
+    A whole record of an open file whose object doesn't agree with its identity
+    is rejected, never cut off: with another ``domain`` it may be good.
+    """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,26 +324,80 @@ def reports(files: DataFrame) -> DataFrame:
                 data, sealed = content.as_py(), path.endswith(".sealed")
                 try:
                     last = Scan()
-                    for last in scan_file(data, sealed, strict=False, verify=True):  # noqa: B007
+                    for last in scan_file(data, sealed, strict=False, verify=True, domain=domain):  # noqa: B007
                         pass
                 except FormatError as why:
                     last = Scan(0, 0, sealed, str(why))
                 has_seal = not sealed and last.error is not None and data[last.end : last.end + 8] == SEAL_MAGIC and len(data) - last.end == SEAL
-                action = "publish_seal" if has_seal else "none" if last.error is None else "reject" if sealed or not last.end else "truncate"
+                action = "publish_seal" if has_seal else "none" if last.error is None else "reject" if sealed or not last.end or last.whole else "truncate"
                 rows.append((path, last.records, last.end, len(data) - last.end - (SEAL if sealed or has_seal else 0), last.error, action))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["path", "records", "retained_bytes", "cut_bytes", "error", "action"])
 
     return files.select("path", "content").mapInArrow(report, "path string, records long, retained_bytes long, cut_bytes long, error string, action string")
 
 
-def build(objects: DataFrame, by: str, chunk: str, order: str, payload: str, generation: int = 1, codec: str = "raw") -> DataFrame:
+def build(objects: DataFrame, by: str, chunk: str, order: str, payload: str, generation: int = 1, codec: str = "raw", domain: str = DOMAIN) -> DataFrame:
     """(path, content) of sealed files, one per (by, chunk); a file is bounded by the target of its rotation."""
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("__order")
-        records = [object_record(x, codec=codec) for x in table.column("__payload").to_pylist()]
+        records = [object_record(x, codec=codec, domain=domain) for x in table.column("__payload").to_pylist()]
         name = f"{key[0].as_py()}/{key[1].as_py():020d}.sealed"
         return pa.table({"path": [name], "content": pa.array([chunk_file(records, generation, key[1].as_py())], pa.binary())})
 
     rows = objects.select(F.col(by).cast("string").alias("__by"), F.col(chunk).cast("long").alias("__chunk"), F.col(order).alias("__order"), F.col(payload).alias("__payload"))
     return rows.groupBy("__by", "__chunk").applyInArrow(pack, "path string, content binary")
+
+
+def raw_objects(records: DataFrame, domain: str = DOMAIN) -> DataFrame:
+    """``records`` with the decoded object and the rule it breaks: raw binary, raw_error string."""
+    kind = pa.struct([("raw", pa.binary()), ("raw_error", pa.string())])
+
+    def one(r: dict) -> dict:
+        try:
+            return {"raw": restored(Record(r["kind"], r["codec"], r["flags"], r["raw_length"], r["content_id"], r["algorithm"], r["oid"], r["payload"]), domain), "raw_error": None}
+        except FormatError as why:
+            return {"raw": None, "raw_error": str(why)}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([one(r) for r in batch.to_pylist()], kind)
+
+    columns = F.struct("kind", "codec", "flags", "raw_length", "content_id", "algorithm", "oid", "payload")
+    return records.withColumn("__raw", F.arrow_udf(run, "raw binary, raw_error string")(columns)).select(*records.columns, "__raw.raw", "__raw.raw_error")
+
+
+#: Fields of a location that must agree with the record that is there, in the order in which they are compared.
+AGREE = ("record_length", "stored_length", "raw_length", "kind", "codec", "flags", "payload_crc32c", "content_id")
+
+
+def records_at(records: DataFrame, locations: DataFrame) -> DataFrame:
+    """Each location with the record at its place, and ``problem``: missing, the first field that differs, or null."""
+    there = records.select("generation", "chunk_id", "offset", F.struct(*AGREE, "algorithm", "oid", "payload").alias("record"))
+    out = locations.join(there, ["generation", "chunk_id", "offset"], "left")
+    problem = F.when(F.col("record").isNull(), "missing")
+    for c in AGREE:
+        problem = problem.when(~F.col(c).eqNullSafe(F.col(f"record.{c}")), c)
+    return out.withColumn("problem", problem)
+
+
+def reconciled(found: DataFrame) -> DataFrame:
+    """Reports by chunk: one that is there open and sealed is a conflict, whatever its files are like."""
+    stem = F.regexp_replace("path", r"\.(open|sealed)$", "")
+    per = found.groupBy(stem.alias("chunk")).agg(F.count("*").alias("files"), F.min_by(F.struct("path", "records", "retained_bytes", "cut_bytes", "error", "action"), "path").alias("x"))
+    action = F.when(F.col("files") > 1, "conflict").otherwise(F.col("x.action"))
+    return per.select("chunk", "x.path", "x.records", "x.retained_bytes", "x.cut_bytes", "x.error", action.alias("action"))
+
+
+def apply_recovery(spark: SparkSession, found: DataFrame) -> int:
+    """Cut the tails and rename what has its seal, as ``reconciled`` says; how many files were changed. A conflict or rejection is an error."""
+    rows = found.filter("action <> 'none'").collect()  # open files a crash left behind
+    if bad := [r for r in rows if r.action in ("conflict", "reject")]:
+        raise FormatError(f"{bad[0].chunk}: {bad[0].action} {bad[0].error or ''}")
+    files = Files(spark)
+    for r in rows:
+        if r.action == "truncate":
+            files.write(r.path, files.read(r.path, 1 << 31)[: r.retained_bytes])
+        else:
+            files.move(r.path, r.path.removesuffix(".open") + ".sealed")
+    return len(rows)
