@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import identity
-from strataweave.operators import importing, ordered
+from strataweave.operators import importing, maintenance, ordered
 from strataweave.plans.registry import query
 from strataweave.session import read_table
 
@@ -165,11 +165,11 @@ def rebuild_batches(spark, sf_dir):
 
 
 @query("compaction_strict_order", f"""
-select count(*) as violations from (select content, lag(content) over (order by content) as prior from {WINNERS}) where prior >= content""")
+select count(*) as violations from (select cid, lag(cid) over (order by source, doc_id) as prior from {DOCS}) where prior >= cid""")
 def compaction_strict_order(spark, sf_dir):
-    """Strict order of the sorted live set fails exactly where a content repeats."""
-    per = winners(_locations(spark, sf_dir)).groupBy("content").agg(F.count("*").alias("n"))
-    return per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("violations"))
+    """How often a list of contents as they were imported, source by source, is not strictly ascending."""
+    rows = ordered.row_number(docs_with_cid(spark, sf_dir, "source"), ["source", "doc_id"], "place")
+    return maintenance.order_faults(rows, "place", "cid").agg(F.count("*").alias("violations"))
 
 
 @query("compaction_shadow_locations", f"""

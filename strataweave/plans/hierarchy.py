@@ -148,7 +148,7 @@ def gc_mark_set(spark, sf_dir):
 
 @query("gc_sweep_unmarked", f"select c_custkey from customer where 'c' || c_custkey not in (select node from {MARKED})")
 def gc_sweep_unmarked(spark, sf_dir):
-    marked = graph.reachable(entries(spark, sf_dir).select("src", "dst"), ready_roots(spark, sf_dir), levels=1)
+    marked = graph.reachable(entries(spark, sf_dir).select("src", "dst"), ready_roots(spark, sf_dir))
     c = read_table(spark, sf_dir, "customer").select("c_custkey", _id("c", "c_custkey").alias("node"))
     return c.join(marked.select("node"), "node", "left_anti").select("c_custkey")
 

@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from strataweave.plans import content, hierarchy, upkeep, formats  # noqa: E402,F401
+from strataweave.plans import content, hierarchy, upkeep, formats, records  # noqa: E402,F401

@@ -61,13 +61,17 @@ def reconcile(catalog: Catalog, path: str) -> str:
     return "published"
 
 
+def promoted(snapshots: DataFrame, read: DataFrame) -> DataFrame:
+    """repo_id, snapshot_id of the incomplete snapshots whose manifest (value, error) was read whole."""
+    whole = read.filter("error is null").select(F.col("value.repository").alias("repo_id"), F.col("value.snapshot_id").alias("snapshot_id")).distinct()
+    return snapshots.filter(F.col("visibility") == INCOMPLETE).select("repo_id", "snapshot_id").join(whole, ["repo_id", "snapshot_id"], "left_semi")
+
+
 def reconcile_all(catalog: Catalog, folder: str) -> DataFrame:
     """At startup: every incomplete snapshot whose manifest is whole becomes ready, in one commit; the rows that did."""
     spark: SparkSession = catalog.spark
-    read = manifests.read_files(spark, folder, manifests.SNAPSHOT).filter("error is null").select(F.col("value.repository").alias("repo_id"), F.col("value.snapshot_id").alias("snapshot_id")).distinct()
-    waiting = catalog.read("repo_snapshots").filter(F.col("visibility") == INCOMPLETE)
-    done = waiting.join(read, ["repo_id", "snapshot_id"], "left_semi").select("repo_id", "snapshot_id", F.lit(READY).alias("visibility"))
-    rows = done.collect()  # what stopped between two steps
+    done = promoted(catalog.read("repo_snapshots"), manifests.read_files(spark, folder, manifests.SNAPSHOT))
+    rows = done.withColumn("visibility", F.lit(READY)).collect()  # what stopped between two steps
     out = spark.createDataFrame(rows, TABLES["repo_snapshots"][0])
     if rows:
         catalog.apply(put={"repo_snapshots": out})

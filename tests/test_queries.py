@@ -11,9 +11,8 @@ def test_same_as_oracle(spark, name):
     assert_same(registry.QUERIES[name](spark, SF), registry.ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
