@@ -13,13 +13,15 @@ Beside it, words give the add-one unigram score.
 How it is spread out.  Texts go into blocks of bounded bytes, written once.
 Every block lists its distinct words and its distinct strings of a context and a
 byte with their training counts; these are all that is gathered from the corpus, and they grow
-with it.  Words are summed over blocks and joined back to them.  The strings are
-summed, then grouped by the two bytes before the last: a group holds all levels
-of the tree from two bytes on; how many strings it has grows with the depth and
-the corpus (at most 65,536 for contexts of 3 bytes).  The two upper levels
-have at most 65,536 nodes together and are the only thing that goes through the
-driver.  Each block then gets the values of its own words and strings by a
-cogroup and sums them up per text, so no worker ever holds the model.
+with it.  Words are summed over blocks and joined back to them.  The strings of a
+block are sorted and packed, a row for each two bytes before the last; the rows of
+all blocks for such two bytes are a group, which holds all levels of the tree from two bytes on;
+how many strings it has grows with the depth and the corpus (at most 65,536 for
+contexts of 3 bytes).  The two upper levels have at most 65,536 nodes together
+and are the only thing that goes through the driver.  A group answers each of its
+rows with the code lengths of that row's strings, in their order, and a block
+gets the answers and the counts of its words by a cogroup and sums them up per
+text, so no worker ever holds the model.
 
 Defined cases: null and empty texts have one token (the end) and log10 score 0
 under the byte model; null ids take the fold of the empty string; repeated rows
@@ -40,12 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm import words
-from strataweave.session import written
+from strataweave.session import forget, written
 
 DEPTH = 3
-BLOCK_BYTES = 6 << 20
-#: Cells of a dense table of contexts by bytes; sparser blocks are searched by sorted codes.
-DENSE = 1 << 24
+BLOCK_BYTES = 32 << 20
+#: Bytes whose strings are sorted at once; a worker holds the distinct ones of a block.
+SLICE_BYTES = 4 << 20
+#: Code lengths travel in steps of this part of a bit, so a byte's is at most 2e-9 bits off.
+STEPS = 1 << 28
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -56,99 +60,89 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 # ---- byte strings of a block ----------------------------------------------------
 
 
-def context_codes(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The string of ``depth`` + 1 bytes that ends at each byte (first byte highest), and where each text starts (rows + 1)."""
+def strings_of(texts: pa.Array, depth: int = DEPTH, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The strings that end at each byte, ``most`` bytes at a time: (first row, bytes here of it and of the rows after it, strings).
+
+    A string is an integer: the context's bytes, nearest first, then zeros up to seven, then the byte.
+    """
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(size)
-    flat = np.frombuffer(b"".join(x.as_buffer() for x in texts), np.uint8) if len(texts) else np.empty(0, np.uint8)
-    kind = np.uint32 if depth < 4 else np.uint64
-    codes = flat.astype(kind)
-    starts = ends - size
-    for back in range(1, depth + 1):
-        prior = np.zeros(len(flat), kind)
-        prior[back:] = flat[:-back] if len(flat) > back else 0
-        for first in range(back):  # bytes of the text before are no context
-            at = starts[size > first] + first
-            prior[at] = 0
-        codes |= prior << kind(8 * back)
-    return codes, np.concatenate(([0], ends))
-
-
-def string_bytes(codes: np.ndarray, depth: int) -> pa.Array:
-    """The strings as binary values."""
-    flat = codes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - depth :].tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(depth + 1), len(codes), [None, pa.py_buffer(flat)]).cast(pa.binary())
-
-
-def string_codes(keys: pa.ChunkedArray, depth: int) -> np.ndarray:
-    """The codes of keys, which are a mark and the string."""
-    keys = keys.combine_chunks()
-    keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
-    at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
-    flat = np.frombuffer(keys.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(keys), depth + 2)
-    out = np.zeros((len(keys), 8), np.uint8)
-    out[:, 7 - depth :] = flat[:, 1:]
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
-class Index:
-    """Numbers the distinct strings of a block in ascending order; those of more than four bytes are searched always."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.cells = None
-        if codes.dtype.itemsize > 4:
-            self.found = np.unique(codes)
-            return
-        used = np.zeros(256, bool)
-        for shift in (0, 8, 16, 24):
-            used |= np.bincount((codes >> np.uint32(shift)).astype(np.uint8), minlength=256)[:256] > 0
-        self.symbols = np.flatnonzero(used)
-        self.n = max(1, len(self.symbols))
-        self.lut = np.zeros(256, np.int32)
-        self.lut[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
-        if self.n**3 <= DENSE:
-            context = self._context(codes)
-            seen = np.zeros(self.n**3, bool)
-            seen[context] = True
-            if int(seen.sum()) * self.n <= DENSE:
-                self.rows = np.cumsum(seen, dtype=np.int32) - 1
-                self.contexts = np.flatnonzero(seen)
-                self.cells = self.rows[context] * np.int32(self.n) + self.lut[(codes & np.uint32(255)).astype(np.uint8)]
-        if self.cells is None:
-            self.found = np.unique(codes)
-
-    def _context(self, codes: np.ndarray) -> np.ndarray:
-        part = lambda shift: self.lut[(codes >> np.uint32(shift)).astype(np.uint8)]
-        out = part(24)
-        out *= self.n
-        out += part(16)
-        out *= self.n
-        out += part(8)
-        return out
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    # seven zeros before each text; a long read at any place then holds a byte and its context
+    flat = np.frombuffer((b"\0" * 7).join([b"", *(x.as_buffer() for x in texts)]), np.uint8)
+    wide = np.ndarray((max(0, len(flat) - 7),), "<u8", flat, strides=(1,))
+    cut = ~np.uint64(((1 << 8 * (7 - depth)) - 1) << 8)
+    for p in range(0, int(bounds[-1]), most):
+        q = min(p + most, int(bounds[-1]))
+        d, e = int(np.searchsorted(bounds, p, "right")) - 1, int(np.searchsorted(bounds, q))
+        own = np.ones(q - p + 7 * (e - 1 - d), bool)
+        gaps = bounds[d + 1 : e] + 7 * np.arange(e - 1 - d) - p
+        own[(gaps[:, None] + np.arange(7)).ravel()] = False
+        read = wide[p + 7 * d : q + 7 * (e - 1)][own].astype(np.uint64)
+        yield d, np.diff(np.clip(bounds[d : e + 1], p, q)), ((read << np.uint64(8)) | (read >> np.uint64(56))) & cut
+
+
+def suffix_codes(strings: np.ndarray) -> np.ndarray:
+    """The strings with the context's bytes in the order of the text."""
+    return ((strings >> np.uint64(8)) | (strings << np.uint64(56))).byteswap()
+
+
+def counted(texts: pa.Array, mask: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings, ascending, and how often each stands in the rows of the mask."""
+    found, times = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for first, lengths, strings in strings_of(texts, depth):
+        inside = np.repeat(mask[first : first + len(lengths)], lengths)
+        some, n = np.unique(strings[inside], return_counts=True)
+        rest = np.unique(strings[~inside])
+        found += [some, rest]
+        times += [n.astype(np.uint32), np.zeros(len(rest), np.uint32)]
+    every, n = np.concatenate(found), np.concatenate(times)
+    del found, times
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+    return every[first], np.add.reduceat(n, first, dtype=np.uint32) if len(first) else n
+
+
+def groups_of(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending strings: the nearest two bytes of each run that shares them, and where the runs start (runs + 1)."""
+    lead = (strings >> np.uint64(48)).astype(np.int32)
+    at = np.flatnonzero(np.diff(lead, prepend=-1))
+    return lead[at], np.append(at, len(strings))
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as one compressed value, byte by byte of each: leading zeros then take nothing."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(value: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    """The columns of ``packed``."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    flat, out, at = np.frombuffer(pa.decompress(value, n * sum(sizes), "zstd"), np.uint8), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def pack_strings(strings: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending strings, as steps, and their counts."""
+    return packed(np.diff(strings, prepend=np.uint64(0)), n)
+
+
+def unpack_strings(value: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = unpacked(value, n, np.uint64, np.uint32)
+    return np.cumsum(steps, dtype=np.uint64), counts
+
 
-    def counted(self, codes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct strings, and how often each stands where the mask holds."""
-        if self.cells is None:
-            some, times = np.unique(codes[mask], return_counts=True)
-            n = np.zeros(len(self.found), np.int64)
-            n[np.searchsorted(self.found, some)] = times
-            return self.found, n
-        size = len(self.contexts) * self.n
-        here = np.bincount(self.cells, minlength=size) > 0
-        n = np.bincount(self.cells[mask], minlength=size)[here]
-        at = np.flatnonzero(here)
-        context, last = self.contexts[at // self.n], self.symbols[at % self.n]
-        c3, c2, c1 = (self.symbols[(context // self.n**k) % self.n] for k in (2, 1, 0))
-        return ((c3 << 24) | (c2 << 16) | (c1 << 8) | last).astype(np.uint32), n
-
-    def spread(self, codes: np.ndarray, found: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The value of the string at each byte; found and values list all strings of the block."""
-        if self.cells is None:
-            order = np.argsort(found)
-            return values[order][np.searchsorted(found[order], codes)]
-        table = np.zeros(len(self.contexts) * self.n)
-        table[self.rows[self._context(found)] * self.n + self.lut[(found & np.uint32(255)).astype(np.uint8)]] = values
-        return table[self.cells]
+def pack_bits(bits: np.ndarray) -> bytes:
+    """Code lengths in steps of 1 / ``STEPS`` bit."""
+    return packed(np.rint(bits * STEPS).astype(np.uint64))
+
+
+def unpack_bits(value: bytes, n: int) -> np.ndarray:
+    return unpacked(value, n, np.uint64)[0] / STEPS
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -162,7 +156,8 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 # ---- pass one: blocks, their words and strings ------------------------------------
 
-BLOCKS = "__block long, __at int, __key binary, __n long, doc_id {kind}, __held boolean, text string"
+TEXT, WORD, STRINGS = 0, 1, 2
+BLOCKS = "__kind byte, __block long, __at int, __key binary, __n long, doc_id {kind}, __held boolean, text string"
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -170,38 +165,45 @@ def _lowered(texts: pa.Array) -> pa.Array:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
-    """Written rows: the texts of each block, its words (key ``w`` and the word), its strings (key ``g`` and ``depth`` + 1 bytes)."""
+    """Written rows of each block: ``TEXT``, its texts; ``WORD``, its words with their training counts; ``STRINGS``, its strings with theirs, packed, a row for each two nearest bytes (``__at``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in BLOCKS.split(", ")]
         held: list[tuple] = []
         size = 0
 
+        def batch_of(kind: int, at: np.ndarray, keys=None, n=None, ids=None, folds=None, texts=None) -> pa.RecordBatch:
+            k = len(at)
+            given = [(keys, pa.binary()), (n, pa.int64()), (ids, id_type), (folds, pa.bool_()), (texts, pa.string())]
+            columns = [pa.array(np.full(k, kind, np.int8)), pa.array(np.full(k, block)), pa.array(at.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns + [pa.nulls(k, t) if c is None else c for c, t in given], names)
+
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
             ids, folds, texts = (pa.concat_arrays([x[k] for x in held]) for k in range(3))
             held.clear()
             size = 0
-            n = len(texts)
-            none = lambda kind, k=n: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), none(pa.binary()), none(pa.int64()), ids, folds, texts], names)
+            yield batch_of(TEXT, np.arange(len(texts)), ids=ids, folds=folds, texts=texts)
             train = ~folds.to_numpy(zero_copy_only=False).astype(bool)
             low = _lowered(texts)
+            del ids, folds, texts
             values, codes, rows = words.numbered(low, lower=False)
             n_words = np.bincount(codes[np.repeat(train, np.diff(rows))], minlength=len(values))
-            strings, bounds = context_codes(low, depth)
-            found, n_found = Index(strings).counted(strings, np.repeat(train, np.diff(bounds)))
-            prefix = lambda mark, x: pc.binary_join_element_wise(pa.array([mark] * len(x), pa.binary()), x, b"")
-            for mark, keys, counts in ((b"w", values.cast(pa.binary()), n_words), (b"g", string_bytes(found, depth), n_found)):
-                for a in range(0, len(keys), 50_000):
-                    some = prefix(mark, keys.slice(a, 50_000))
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, block)), pa.array(np.arange(a, a + k, dtype=np.int32)), some, pa.array(counts[a : a + k].astype(np.int64)), none(ids.type, k), none(pa.bool_(), k), none(pa.string(), k)], names,
-                    )
+            values = values.cast(pa.binary())
+            for a in range(0, len(values), 50_000):
+                some = values.slice(a, 50_000)
+                yield batch_of(WORD, np.arange(a, a + len(some)), some, pa.array(n_words[a : a + len(some)].astype(np.int64)))
+            del values, codes, rows
+            strings, n = counted(low, train, depth)
+            lead, at = groups_of(strings)
+            for a in range(0, len(lead), 256):
+                runs = list(zip(at[a : a + 256], at[a + 1 : a + 257]))
+                keys = pa.array([pack_strings(strings[i:j], n[i:j]) for i, j in runs], pa.binary())
+                yield batch_of(STRINGS, lead[a : a + 256], keys, pa.array([j - i for i, j in runs], pa.int64()))
             block += 1
 
         for batch in batches:
+            id_type = batch.column(0).type
             for first, texts in words.chunks(batch.column(2), block_bytes):
                 n = len(texts)
                 more = pc.sum(pc.binary_length(texts)).as_py() or 0
@@ -211,6 +213,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH)
                 size += more
         if held:
             yield from flush()
+        words.trim()
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("__held"), "text")
     return written(rows.mapInArrow(cut, BLOCKS.format(kind=docs.schema["doc_id"].dataType.simpleString())), "lm-blocks")
@@ -345,52 +348,71 @@ def string_logs(codes: np.ndarray, n: np.ndarray, top: dict, depth: int) -> np.n
     return total[levels.at]
 
 
-def string_model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(__key, value): log2 probability of every string; ``counts`` is a written table (__key, __n)."""
-    grouped = counts.withColumn("__middle", F.substring("__key", depth, 2))
+def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings and counts of a group's rows one after another, and where each row's start (rows + 1)."""
+    sizes = table.column("__n").to_numpy()
+    strings, n = zip(*(unpack_strings(key.as_buffer(), size) for key, size in zip(table.column("__key"), sizes.tolist())))
+    return suffix_codes(np.concatenate(strings)), np.concatenate(n), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def string_model(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(__block, __at, __n, __key): packed code lengths of every string of every block; ``strings`` are written ``STRINGS`` rows."""
 
     def sums(table: pa.Table) -> pa.Table:
-        c = string_codes(table.column("__key"), depth)
-        node, zeros, ones, logs = upper_sums(c, table.column("__n").to_numpy(), depth)
+        codes, n, _ = _group(table)
+        node, zeros, ones, logs = upper_sums(codes, n, depth)
         some = zeros + ones > 0
-        byte = np.full(int(some.sum()), int(c[0] >> np.uint64(8)) & 255, np.int32)
+        byte = np.full(int(some.sum()), int(codes[0] >> np.uint64(8)) & 255, np.int32)
         return pa.table({"byte": byte, "node": node[some].astype(np.int32), "zeros": zeros[some], "ones": ones[some], "logs": logs[some]})
 
-    upper = grouped.groupBy("__middle").applyInArrow(sums, "byte int, node int, zeros double, ones double, logs double")
-    rows = upper.groupBy("byte", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")).collect()  # at most 256 x 255 rows
-    top = counts.sparkSession.sparkContext.broadcast(top_levels([tuple(r) for r in rows]))
+    grouped = strings.select("__block", "__at", "__n", "__key").groupBy("__at")
+    upper = grouped.applyInArrow(sums, "byte int, node int, zeros double, ones double, logs double")
+    upper = written(upper.groupBy("byte", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")), "lm-upper")
+    rows = upper.collect()  # at most 256 x 255 rows
+    top = strings.sparkSession.sparkContext.broadcast(top_levels([tuple(r) for r in rows]))
 
     def logs(table: pa.Table) -> pa.Table:
-        c = string_codes(table.column("__key"), depth)
-        return pa.table({"__key": table.column("__key"), "value": string_logs(c, table.column("__n").to_numpy(), top.value, depth)})
+        codes, n, at = _group(table)
+        bits = -string_logs(codes, n, top.value, depth)
+        keys = [pack_bits(bits[i:j]) for i, j in zip(at, at[1:])]
+        return table.set_column(table.column_names.index("__key"), "__key", pa.array(keys, pa.binary()))
 
-    return grouped.groupBy("__middle").applyInArrow(logs, "__key binary, value double")
+    return grouped.applyInArrow(logs, "__block long, __at int, __n long, __key binary")
 
 
 # ---- pass two -----------------------------------------------------------------------
 
 
+def _code_lengths(texts: pa.Array, bits: np.ndarray, depth: int) -> np.ndarray:
+    """Sum of each text's code lengths; ``bits`` are those of the distinct strings of all texts, ascending."""
+    slices = []
+    for first, lengths, strings in strings_of(texts, depth):
+        found, at = np.unique(strings, return_inverse=True)
+        slices.append((first, lengths, found, at.astype(np.int32)))
+    every = np.unique(np.concatenate([x[2] for x in slices]))
+    if len(every) != len(bits):
+        raise ValueError("the block's strings and their code lengths do not agree")
+    out = np.zeros(len(texts))
+    for first, lengths, found, at in slices:
+        here = bits[np.searchsorted(every, found)][at]
+        out[first : first + len(lengths)] += _sums(here, np.concatenate(([0], np.cumsum(lengths))))
+    return out
+
+
 def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
     """For contexts of 0 to ``depth`` (2 to 7) bytes: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     if not 2 <= depth <= 7:
         raise ValueError("a context has 2 to 7 bytes at most: a string of it and one more byte is a long")
     rows = blocks(docs, block_bytes, depth)
-    keys = rows.filter("__key is not null").select("__block", "__at", "__key", "__n")
-    mark = F.substring("__key", 1, 1)
-    found = keys.filter(mark == F.lit(b"w"))
+    found = rows.filter(F.col("__kind") == WORD).select("__block", "__at", "__key", "__n")
     totals = written(found.groupBy("__key").agg(F.sum("__n").alias("value")), "lm-totals")
     # a common word has a row in every block; the join can be split, a window per word could not
-    sums = found.select("__block", "__at", "__key").join(totals, "__key").select("__block", "__at", F.col("value").cast("double").alias("value"))
-    sums = written(sums, "lm-words")
-    strings = keys.filter(mark == F.lit(b"g"))
-    model = string_model(written(strings.groupBy("__key").agg(F.sum("__n").alias("__n")), "lm-strings"), depth)
-    logs = strings.select("__block", "__key").join(written(model, "lm-model"), "__key")
-    code = F.conv(F.hex(F.substring("__key", 2, depth + 1)), 16, -10).cast("long")  # signed
-    slices = sums.select("__block", F.lit(True).alias("__word"), F.col("__at").cast("long").alias("__i"), "value").unionByName(
-        logs.select("__block", F.lit(False).alias("__word"), code.alias("__i"), "value")
-    )
+    sums = written(found.select("__block", "__at", "__key").join(totals, "__key").select("__block", "__at", F.col("value").alias("__n")), "lm-words")
     said = totals.agg(F.sum("value"), F.count_if(F.col("value") > 0)).first()
-    texts = rows.filter("__key is null").select("__block", "__at", "doc_id", F.col("__held").alias("held_out"), "text")
+    forget(totals)
+    model = string_model(rows.filter(F.col("__kind") == STRINGS), depth)
+    slices = sums.withColumn("__key", F.lit(None).cast("binary")).unionByName(model)
+    texts = rows.filter(F.col("__kind") == TEXT).select("__block", "__at", "doc_id", F.col("__held").alias("held_out"), "text")
     ends = texts.filter("not held_out").count()
     total, kinds = (said[0] or 0) + ends, (said[1] or 0) + (ends > 0)
     below = total + kinds + 1
@@ -399,20 +421,18 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int
         block = block.sort_by("__at")
         low = _lowered(block.column("text").combine_chunks())
         low = low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
-        if values.num_rows:
-            is_word, i, v = (values.column(c).to_numpy() for c in ("__word", "__i", "value"))
-        else:  # only empty texts; the table has no columns then
-            is_word, i, v = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0)
         dictionary, codes, at = words.numbered(low, lower=False)
-        counts = np.zeros(len(dictionary))
-        counts[i[is_word]] = v[is_word]
+        counts, own = np.zeros(len(dictionary)), []
+        if values.num_rows:  # without a word or a byte the table has no columns
+            is_word = pc.is_null(values.column("__key"))
+            of_words = values.filter(is_word)
+            counts[of_words.column("__at").to_numpy()] = of_words.column("__n").to_numpy()
+            own = [unpack_bits(r["__key"], r["__n"]) for r in values.filter(pc.invert(is_word)).sort_by("__at").to_pylist()]
         n_words = np.diff(at)
         base = _sums((np.log10(counts + 1) - math.log10(below))[codes], at) + math.log10((ends + 1) / below)
         known = _sums((counts > 0)[codes].astype(float), at) + (ends > 0)
-        strings, bounds = context_codes(low, depth)
-        logs = Index(strings).spread(strings, i[~is_word].astype(strings.dtype), v[~is_word]) if len(strings) else np.empty(0)
-        bits = -_sums(logs, bounds)
-        size = np.diff(bounds)
+        bits = _code_lengths(low, np.concatenate(own), depth) if own else np.zeros(len(low))
+        size = pc.binary_length(low).to_numpy(zero_copy_only=False)
         out = {
             "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": n_words + 1, "n_known": known.astype(np.int64), "train_tokens": np.full(len(size), total),
             "base_score": base, "score": -bits * math.log10(2), "bits_per_byte": bits / np.maximum(size, 1),

@@ -210,18 +210,20 @@ def test_ctw_of_empty_texts_only(spark):
     assert {(r.n_tokens, r.train_tokens) for r in got} == {(1, sum(map(cases.in_training, (1, 2, 3))))} and len(got) == 3
 
 
-def test_ctw_sparse_and_dense_index_agree():
+def test_ctw_strings_of_slices_and_their_packing():
     rng = np.random.default_rng(4)
-    texts = pa.array([rng.integers(0, 256, 5000, dtype=np.uint8).tobytes().decode("latin-1") for _ in range(3)])
-    codes, _ = ctw.context_codes(texts)
-    mask = rng.random(len(codes)) < 0.5
-    dense = ctw.Index(codes)
-    sparse = ctw.Index.__new__(ctw.Index)
-    sparse.cells, sparse.found = None, np.unique(codes)
-    for a, b in zip(dense.counted(codes, mask), sparse.counted(codes, mask)):
-        assert (a == b).all()
-    values = rng.random(len(sparse.found))
-    assert (dense.spread(codes, sparse.found, values) == sparse.spread(codes, sparse.found, values)).all()
+    raw = [b"", b"a", b"", *(rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (3, 50, 7)), b"", b""]
+    for depth in (2, 5, 7):
+        want = [(i, bytes(7 - depth) + (bytes(depth) + t)[k : k + depth + 1]) for i, t in enumerate(raw) for k in range(len(t))]
+        for most in (1, 4, 1000):
+            have = [(r, s) for first, lengths, x in ctw.strings_of(pa.array(raw), depth, most) for r, s in zip(np.repeat(np.arange(first, first + len(lengths)), lengths).tolist(), ctw.suffix_codes(x).astype(">u8").view("S8").tolist())]
+            assert [(r, s.ljust(8, b"\0")) for r, s in have] == want
+        found, n = ctw.counted(pa.array(raw), np.arange(len(raw)) % 2 == 0, depth)
+        assert (np.diff(found.astype(object)) > 0).all() and n.sum() == sum(map(len, raw[::2])) and len(found) == len({s for _, s in want})
+        again = ctw.unpack_strings(ctw.pack_strings(found, n), len(found))
+        assert (again[0] == found).all() and (again[1] == n).all()
+    bits = rng.random(100) * 400
+    assert np.abs(ctw.unpack_bits(ctw.pack_bits(bits), 100) - bits).max() < 2e-9
 
 
 def test_log_gamma():
