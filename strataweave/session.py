@@ -52,19 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SCRATCH[0]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and values that depend on how rows were dealt to tasks are fixed by the
     commit.  Parquet with zstd keeps the copy smaller than ``checkpoint()``.
+    ``by`` names a column of few values, each of which gets a folder of its own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataweave/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")  # the job's shuffle files go as soon as its table is committed
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -72,13 +73,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the folder of a table that ``written`` returned.
+def forget(df: DataFrame, part: str | None = None) -> None:
+    """Delete the folder of a table that ``written`` returned, or the part of it (``column=value``) that it was written by.
 
     Call it only when nothing that still has to run depends on it.
     """
-    path = df.__dict__.pop(_PATH, None)
-    if path:
+    path = df.__dict__.get(_PATH)
+    if path and part:
+        _delete(df.sparkSession, f"{path}/{part}")
+    elif path:
+        del df.__dict__[_PATH]
         _delete(df.sparkSession, path)
 
 
