@@ -20,7 +20,7 @@ how many strings it has grows with the depth and the corpus (at most 65,536 for
 contexts of 3 bytes).  The two upper levels have at most 65,536 nodes together
 and are the only thing that goes through the driver.  A group answers each of its
 rows with the code lengths of that row's strings, in their order, and a block
-gets the answers and the counts of its words by a cogroup and sums them up per
+gets the answers and the counts of its words in a group and sums them up per
 text, so no worker ever holds the model.
 
 Defined cases: null and empty texts have one token (the end) and log10 score 0
@@ -46,10 +46,11 @@ from strataweave.session import forget, written
 
 DEPTH = 3
 BLOCK_BYTES = 32 << 20
-#: Bytes whose strings are sorted at once; a worker holds the distinct ones of a block.
-SLICE_BYTES = 4 << 20
-#: Code lengths travel in steps of this part of a bit, so a byte's is at most 2e-9 bits off.
-STEPS = 1 << 28
+#: Strings of a block that are sorted at once, unless more share their nearest two bytes.
+RANGE = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Code lengths travel in steps of this part of a bit, so a byte's is at most 3e-8 bits off.
+STEPS = 1 << 24
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -60,25 +61,33 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 # ---- byte strings of a block ----------------------------------------------------
 
 
-def strings_of(texts: pa.Array, depth: int = DEPTH, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The strings that end at each byte, ``most`` bytes at a time: (first row, bytes here of it and of the rows after it, strings).
+def strings_of(texts: pa.Array, depth: int = DEPTH, most: int = RANGE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings that end at each byte, in ranges of about ``most`` of ascending nearest two bytes: (where each row's start (rows + 1), strings).
 
     A string is an integer: the context's bytes, nearest first, then zeros up to seven, then the byte.
+    Strings of equal nearest two bytes are in one range, so no string is in two.
     """
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    bounds = np.concatenate(([0], np.cumsum(size)))
+    ends = np.cumsum(size + 7)
     # seven zeros before each text; a long read at any place then holds a byte and its context
     flat = np.frombuffer((b"\0" * 7).join([b"", *(x.as_buffer() for x in texts)]), np.uint8)
     wide = np.ndarray((max(0, len(flat) - 7),), "<u8", flat, strides=(1,))
     cut = ~np.uint64(((1 << 8 * (7 - depth)) - 1) << 8)
-    for p in range(0, int(bounds[-1]), most):
-        q = min(p + most, int(bounds[-1]))
-        d, e = int(np.searchsorted(bounds, p, "right")) - 1, int(np.searchsorted(bounds, q))
-        own = np.ones(q - p + 7 * (e - 1 - d), bool)
-        gaps = bounds[d + 1 : e] + 7 * np.arange(e - 1 - d) - p
-        own[(gaps[:, None] + np.arange(7)).ravel()] = False
-        read = wide[p + 7 * d : q + 7 * (e - 1)][own].astype(np.uint64)
-        yield d, np.diff(np.clip(bounds[d : e + 1], p, q)), ((read << np.uint64(8)) | (read >> np.uint64(56))) & cut
+    inside = np.ones(len(wide), bool)
+    inside[((ends[:-1] - 7)[:, None] + np.arange(7)).ravel()] = False
+    lead = (flat[6:-1].astype(np.uint16) << np.uint16(8)) | flat[5:-2]
+    upto = np.zeros(1 << 16, np.int64)
+    for i in range(0, len(wide), SLICE_BYTES):
+        upto += np.bincount(lead[i : i + SLICE_BYTES][inside[i : i + SLICE_BYTES]], minlength=1 << 16)
+    upto = np.cumsum(upto)
+    total = int(upto[-1])
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, total, most)[1:], "right"))
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), 1 << 16]) if total else ():
+        at = np.flatnonzero(inside & (lead >= lo) & (lead <= max(hi - 1, 0)))
+        if not hi or not len(at):
+            continue
+        read = wide[at]
+        yield np.concatenate(([0], np.searchsorted(at, ends - 7))), ((read << np.uint64(8)) | (read >> np.uint64(56))) & cut
 
 
 def suffix_codes(strings: np.ndarray) -> np.ndarray:
@@ -86,21 +95,24 @@ def suffix_codes(strings: np.ndarray) -> np.ndarray:
     return ((strings >> np.uint64(8)) | (strings << np.uint64(56))).byteswap()
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; ``x`` is sorted in place, which takes less than the hash table of ``np.unique``."""
+    x.sort()
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
+
+
 def counted(texts: pa.Array, mask: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct strings, ascending, and how often each stands in the rows of the mask."""
     found, times = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-    for first, lengths, strings in strings_of(texts, depth):
-        inside = np.repeat(mask[first : first + len(lengths)], lengths)
+    for bounds, strings in strings_of(texts, depth):
+        inside = np.repeat(mask, np.diff(bounds))
         some, n = np.unique(strings[inside], return_counts=True)
-        rest = np.unique(strings[~inside])
-        found += [some, rest]
-        times += [n.astype(np.uint32), np.zeros(len(rest), np.uint32)]
-    every, n = np.concatenate(found), np.concatenate(times)
-    del found, times
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], n[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
-    return every[first], np.add.reduceat(n, first, dtype=np.uint32) if len(first) else n
+        every = _distinct(np.concatenate([some, _distinct(strings[~inside])]))
+        total = np.zeros(len(every), np.uint32)
+        total[np.searchsorted(every, some)] = n
+        found.append(every)
+        times.append(total)
+    return np.concatenate(found), np.concatenate(times)
 
 
 def groups_of(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +169,29 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 # ---- pass one: blocks, their words and strings ------------------------------------
 
 TEXT, WORD, STRINGS = 0, 1, 2
-BLOCKS = "__kind byte, __block long, __at int, __key binary, __n long, doc_id {kind}, __held boolean, text string"
+BLOCKS = "__kind int, __block long, __at int, __n long, __key binary"
+ROWS = [c.split()[0] for c in BLOCKS.split(", ")]
+
+
+def _rows(kind: int, block: int | np.ndarray, at: np.ndarray, n: np.ndarray, keys: pa.Array | list) -> pa.RecordBatch:
+    k = len(at)
+    block = np.broadcast_to(np.asarray(block, np.int64), k)
+    keys = keys if isinstance(keys, pa.Array) else pa.array(keys, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(block), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64)), keys], ROWS)
+
+
+def pack_texts(ids: pa.Array, folds: pa.Array, texts: pa.Array) -> bytes:
+    """The documents of a block as one compressed value."""
+    batch = pa.RecordBatch.from_arrays([ids, folds, texts], ["doc_id", "held_out", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_texts(value: pa.Buffer) -> pa.RecordBatch:
+    with pa.ipc.open_stream(value) as source:
+        return source.read_next_batch()
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -165,45 +199,42 @@ def _lowered(texts: pa.Array) -> pa.Array:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
-    """Written rows of each block: ``TEXT``, its texts; ``WORD``, its words with their training counts; ``STRINGS``, its strings with theirs, packed, a row for each two nearest bytes (``__at``)."""
+    """Written rows of each block, by kind.
+
+    ``TEXT``: its documents, packed, and how many are trained on.  ``WORD``: a word, its number and
+    training count.  ``STRINGS``: two nearest bytes (``__at``), how many strings, the strings with their counts, packed.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in BLOCKS.split(", ")]
+        block = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         size = 0
 
-        def batch_of(kind: int, at: np.ndarray, keys=None, n=None, ids=None, folds=None, texts=None) -> pa.RecordBatch:
-            k = len(at)
-            given = [(keys, pa.binary()), (n, pa.int64()), (ids, id_type), (folds, pa.bool_()), (texts, pa.string())]
-            columns = [pa.array(np.full(k, kind, np.int8)), pa.array(np.full(k, block)), pa.array(at.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns + [pa.nulls(k, t) if c is None else c for c, t in given], names)
-
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
             ids, folds, texts = (pa.concat_arrays([x[k] for x in held]) for k in range(3))
             held.clear()
             size = 0
-            yield batch_of(TEXT, np.arange(len(texts)), ids=ids, folds=folds, texts=texts)
             train = ~folds.to_numpy(zero_copy_only=False).astype(bool)
+            yield _rows(TEXT, block, np.zeros(1), train.sum(keepdims=True), [pack_texts(ids, folds, texts)])
             low = _lowered(texts)
             del ids, folds, texts
             values, codes, rows = words.numbered(low, lower=False)
             n_words = np.bincount(codes[np.repeat(train, np.diff(rows))], minlength=len(values))
             values = values.cast(pa.binary())
+            del codes, rows
             for a in range(0, len(values), 50_000):
                 some = values.slice(a, 50_000)
-                yield batch_of(WORD, np.arange(a, a + len(some)), some, pa.array(n_words[a : a + len(some)].astype(np.int64)))
-            del values, codes, rows
+                yield _rows(WORD, block, np.arange(a, a + len(some)), n_words[a : a + len(some)], some)
+            del values, n_words
             strings, n = counted(low, train, depth)
             lead, at = groups_of(strings)
             for a in range(0, len(lead), 256):
                 runs = list(zip(at[a : a + 256], at[a + 1 : a + 257]))
-                keys = pa.array([pack_strings(strings[i:j], n[i:j]) for i, j in runs], pa.binary())
-                yield batch_of(STRINGS, lead[a : a + 256], keys, pa.array([j - i for i, j in runs], pa.int64()))
+                yield _rows(STRINGS, block, lead[a : a + 256], np.array([j - i for i, j in runs]), [pack_strings(strings[i:j], n[i:j]) for i, j in runs])
             block += 1
 
         for batch in batches:
-            id_type = batch.column(0).type
             for first, texts in words.chunks(batch.column(2), block_bytes):
                 n = len(texts)
                 more = pc.sum(pc.binary_length(texts)).as_py() or 0
@@ -216,7 +247,33 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH)
         words.trim()
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("__held"), "text")
-    return written(rows.mapInArrow(cut, BLOCKS.format(kind=docs.schema["doc_id"].dataType.simpleString())), "lm-blocks")
+    return written(rows.mapInArrow(cut, BLOCKS), "lm-blocks", by="__kind")
+
+
+def packed_sums(sums: DataFrame) -> DataFrame:
+    """``WORD`` rows of packed (number, count) from a row a word (__block, __at, __n)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            block, at, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+            held.clear()
+            order = np.lexsort((at, block))
+            block, at, n = block[order], at[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            runs = list(zip(first, np.append(first[1:], len(block))))
+            return _rows(WORD, block[first], np.zeros(len(first)), np.array([j - i for i, j in runs]), [packed(np.diff(at[i:j], prepend=np.int32(0)), n[i:j]) for i, j in runs])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) > 500_000:
+                yield flush()
+        if held:
+            yield flush()
+
+    return sums.select("__block", "__at", "__n").mapInArrow(pack, BLOCKS)
 
 
 # ---- the tree -----------------------------------------------------------------------
@@ -251,11 +308,26 @@ def _looked_up(table: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
     return out
 
 
+#: Counts of both bits below this are looked up together.
+FEW = 128
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of any sequence with these counts."""
+    few = np.maximum(zeros, ones) < FEW
+    out = _FEW_KT[np.where(few, zeros * FEW + ones, 0).astype(np.int32)]
+    if not few.all():
+        out[~few] = _log_kt(zeros[~few], ones[~few])
+    return out
+
+
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _looked_up(_HALVES, zeros, 0.5) + _looked_up(_HALVES, ones, 0.5) - _looked_up(_WHOLES, zeros + ones, 1.0) - math.log(math.pi)
 
 
+_FEW_KT = _log_kt(np.repeat(np.arange(FEW), FEW), np.tile(np.arange(FEW), FEW))
+
+
 class Levels:
     """The tree below one context of two bytes, from its strings and their counts.
 
@@ -279,7 +351,7 @@ class Levels:
             lead = pairs >> np.uint64(8 - k)
             new = np.ones(len(pairs), bool)
             new[1:] = lead[1:] != lead[:-1]
-            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            first, run = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
             bit = (pairs >> np.uint64(7 - k)).astype(np.int64) & 1
             ones = np.add.reduceat(n * bit, first)
             zeros = np.add.reduceat(n, first) - ones
@@ -294,7 +366,8 @@ class Levels:
 
 def _mix(pe: np.ndarray, below: np.ndarray) -> np.ndarray:
     """Log of (e^pe + e^below) / 2."""
-    return np.logaddexp(pe, below) - math.log(2)
+    # the sum's log is of 1 to 2, so nothing is lost by not using log1p
+    return np.maximum(pe, below) + np.log(0.5 + 0.5 * np.exp(-np.abs(pe - below)))
 
 
 def upper_sums(codes: np.ndarray, n: np.ndarray, depth: int):
@@ -356,10 +429,13 @@ def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def string_model(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(__block, __at, __n, __key): packed code lengths of every string of every block; ``strings`` are written ``STRINGS`` rows."""
+    """Rows like the ``strings`` (written ``STRINGS`` rows) with the packed code lengths of the strings."""
 
     def sums(table: pa.Table) -> pa.Table:
         codes, n, _ = _group(table)
+        codes, n = codes[n > 0], n[n > 0]  # strings of held-out texts alone tell nothing
+        if not len(n):
+            return pa.table({c: pa.array([], t) for c, t in (("byte", pa.int32()), ("node", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("logs", pa.float64()))})
         node, zeros, ones, logs = upper_sums(codes, n, depth)
         some = zeros + ones > 0
         byte = np.full(int(some.sum()), int(codes[0] >> np.uint64(8)) & 255, np.int32)
@@ -375,9 +451,9 @@ def string_model(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
         codes, n, at = _group(table)
         bits = -string_logs(codes, n, top.value, depth)
         keys = [pack_bits(bits[i:j]) for i, j in zip(at, at[1:])]
-        return table.set_column(table.column_names.index("__key"), "__key", pa.array(keys, pa.binary()))
+        return pa.Table.from_batches([_rows(STRINGS, table.column("__block").to_numpy(), table.column("__at").to_numpy(), table.column("__n").to_numpy(), keys)])
 
-    return grouped.applyInArrow(logs, "__block long, __at int, __n long, __key binary")
+    return grouped.applyInArrow(logs, BLOCKS)
 
 
 # ---- pass two -----------------------------------------------------------------------
@@ -385,17 +461,13 @@ def string_model(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def _code_lengths(texts: pa.Array, bits: np.ndarray, depth: int) -> np.ndarray:
     """Sum of each text's code lengths; ``bits`` are those of the distinct strings of all texts, ascending."""
-    slices = []
-    for first, lengths, strings in strings_of(texts, depth):
+    out, upto = np.zeros(len(texts)), 0
+    for bounds, strings in strings_of(texts, depth):
         found, at = np.unique(strings, return_inverse=True)
-        slices.append((first, lengths, found, at.astype(np.int32)))
-    every = np.unique(np.concatenate([x[2] for x in slices]))
-    if len(every) != len(bits):
+        out += _sums(bits[upto : upto + len(found)][at], bounds)
+        upto += len(found)
+    if upto != len(bits):
         raise ValueError("the block's strings and their code lengths do not agree")
-    out = np.zeros(len(texts))
-    for first, lengths, found, at in slices:
-        here = bits[np.searchsorted(every, found)][at]
-        out[first : first + len(lengths)] += _sums(here, np.concatenate(([0], np.cumsum(lengths))))
     return out
 
 
@@ -408,37 +480,37 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int
     totals = written(found.groupBy("__key").agg(F.sum("__n").alias("value")), "lm-totals")
     # a common word has a row in every block; the join can be split, a window per word could not
     sums = written(found.select("__block", "__at", "__key").join(totals, "__key").select("__block", "__at", F.col("value").alias("__n")), "lm-words")
+    forget(rows, f"__kind={WORD}")
     said = totals.agg(F.sum("value"), F.count_if(F.col("value") > 0)).first()
     forget(totals)
     model = string_model(rows.filter(F.col("__kind") == STRINGS), depth)
-    slices = sums.withColumn("__key", F.lit(None).cast("binary")).unionByName(model)
-    texts = rows.filter(F.col("__kind") == TEXT).select("__block", "__at", "doc_id", F.col("__held").alias("held_out"), "text")
-    ends = texts.filter("not held_out").count()
+    texts = rows.filter(F.col("__kind") == TEXT).select(*ROWS)
+    ends = texts.agg(F.sum("__n")).first()[0] or 0
     total, kinds = (said[0] or 0) + ends, (said[1] or 0) + (ends > 0)
     below = total + kinds + 1
 
-    def score(block: pa.Table, values: pa.Table) -> pa.Table:
-        block = block.sort_by("__at")
-        low = _lowered(block.column("text").combine_chunks())
-        low = low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
+    def score(block: pa.Table) -> pa.Table:
+        parts = [block.filter(pc.equal(block.column("__kind"), k)).sort_by("__at") for k in (TEXT, WORD, STRINGS)]
+        (batch,), of_words, own = ([unpack(r["__key"], r["__n"]) for r in part.to_pylist()] for part, unpack in zip(parts, unpackers))
+        low = _lowered(batch.column("text"))
         dictionary, codes, at = words.numbered(low, lower=False)
-        counts, own = np.zeros(len(dictionary)), []
-        if values.num_rows:  # without a word or a byte the table has no columns
-            is_word = pc.is_null(values.column("__key"))
-            of_words = values.filter(is_word)
-            counts[of_words.column("__at").to_numpy()] = of_words.column("__n").to_numpy()
-            own = [unpack_bits(r["__key"], r["__n"]) for r in values.filter(pc.invert(is_word)).sort_by("__at").to_pylist()]
+        counts = np.zeros(len(dictionary))
+        for step, n in of_words:
+            counts[np.cumsum(step)] = n
         n_words = np.diff(at)
         base = _sums((np.log10(counts + 1) - math.log10(below))[codes], at) + math.log10((ends + 1) / below)
         known = _sums((counts > 0)[codes].astype(float), at) + (ends > 0)
+        del dictionary, codes, counts, of_words, parts, block
         bits = _code_lengths(low, np.concatenate(own), depth) if own else np.zeros(len(low))
         size = pc.binary_length(low).to_numpy(zero_copy_only=False)
         out = {
-            "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": n_words + 1, "n_known": known.astype(np.int64), "train_tokens": np.full(len(size), total),
+            "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": n_words + 1, "n_known": known.astype(np.int64), "train_tokens": np.full(len(size), total),
             "base_score": base, "score": -bits * math.log10(2), "bits_per_byte": bits / np.maximum(size, 1),
         }
+        words.trim()
         return pa.table(out)
 
+    unpackers = (lambda x, _: unpack_texts(pa.py_buffer(x)), lambda x, n: unpacked(x, n, np.int32, np.int64), unpack_bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("__block").cogroup(slices.groupBy("__block")).applyInArrow(score, schema)
+    return texts.unionByName(packed_sums(sums)).unionByName(model).groupBy("__block").applyInArrow(score, schema)

@@ -216,8 +216,12 @@ def test_ctw_strings_of_slices_and_their_packing():
     for depth in (2, 5, 7):
         want = [(i, bytes(7 - depth) + (bytes(depth) + t)[k : k + depth + 1]) for i, t in enumerate(raw) for k in range(len(t))]
         for most in (1, 4, 1000):
-            have = [(r, s) for first, lengths, x in ctw.strings_of(pa.array(raw), depth, most) for r, s in zip(np.repeat(np.arange(first, first + len(lengths)), lengths).tolist(), ctw.suffix_codes(x).astype(">u8").view("S8").tolist())]
-            assert [(r, s.ljust(8, b"\0")) for r, s in have] == want
+            have, last = [], -1
+            for bounds, strings in ctw.strings_of(pa.array(raw), depth, most):
+                assert last < strings.min() >> np.uint64(48) and len(bounds) == len(raw) + 1
+                last = int(strings.max() >> np.uint64(48))
+                have += zip(np.repeat(np.arange(len(raw)), np.diff(bounds)).tolist(), ctw.suffix_codes(strings).astype(">u8").view("S8").tolist())
+            assert sorted((r, s.ljust(8, b"\0")) for r, s in have) == sorted(want)
         found, n = ctw.counted(pa.array(raw), np.arange(len(raw)) % 2 == 0, depth)
         assert (np.diff(found.astype(object)) > 0).all() and n.sum() == sum(map(len, raw[::2])) and len(found) == len({s for _, s in want})
         again = ctw.unpack_strings(ctw.pack_strings(found, n), len(found))
