@@ -16,7 +16,7 @@ prefix has ``n - ceil(0.75 n) + 1``; most nodes have so many n-grams of their
 own that no shared one is left in it.  Prefix n-grams are joined under the
 length filter, the positional filter, and a suffix filter that compares parity
 bitmaps of the whole sets (the bits that differ are at most the symmetric
-difference).  Each pair is verified once, exactly, on the shared n-grams.
+difference).  A pair meets at its first common n-gram.  Each pair is verified once, exactly, on the shared n-grams.
 
 Pairs in two steps, so that a large group of near copies doesn't give all its
 pairs.  First, in a few turns, every prefix n-gram pairs its nodes with one of
@@ -56,6 +56,8 @@ CHUNK_BYTES = 1 << 20
 BITMAP_LONGS = 8
 #: Lists longer than this are paired in parts.
 LIST = 2048
+#: Places before an entry that a pair's two entries compare, so that a pair meets at its first common n-gram only.
+WINDOW = 16
 #: Turns of stars before all pairs; more turns change only how much is left for those.
 TURNS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -315,10 +317,10 @@ def prefixes(rows: DataFrame) -> DataFrame:
     return some.select("rep", "n", alone.alias("__alone"), at).select("gram", "rep", "n", (F.col("__alone") + F.col("__i")).alias("at"))
 
 
-def _may(an, bn, aat, bat):
-    """Length and positional filters for a common n-gram at these places."""
+def _may(an, bn, aat, bat, first: bool = False):
+    """Length and positional filters for a common n-gram at these places; ``first``: for the first one, before which nothing is common."""
     smaller, larger = F.least(an, bn), F.greatest(an, bn)
-    most = F.least(aat, bat) + 1 + F.least(an - aat - 1, bn - bat - 1)
+    most = (0 if first else F.least(aat, bat)) + 1 + F.least(an - aat - 1, bn - bat - 1)
     return (smaller * DENOMINATOR >= larger * NUMERATOR) & (most * (DENOMINATOR + NUMERATOR) >= (an + bn) * NUMERATOR)
 
 
@@ -367,26 +369,36 @@ def star_pairs(some: DataFrame, turn: int) -> DataFrame:
 def rest_pairs(some: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct pairs of nodes of two components that share a prefix n-gram, after all filters.
 
+    A pair that links passes the filters at its first common n-gram, so it needs
+    to meet there only: the positional filter counts nothing before, and entries
+    with a common n-gram among the ``WINDOW`` before them don't meet again. So a
+    pair gives about one row, not one for each n-gram that it shares.
     Sizes that link are of one band or of neighbours, as a band reaches from a
     size to its 100/75: the larger set of a pair meets its own band, the smaller
     its own and the next, so sets of other sizes don't meet.
     """
-    some = some.join(rows.select("rep", "bits"), "rep")
+    some = some.join(rows.select("rep", "bits", "grams"), "rep")
+    # the n-grams just before an entry; the first ones of a set are those that no other set holds
+    i = (F.col("at") - F.col("n") + F.size("grams")).cast("int")
+    some = some.withColumn("before", F.slice("grams", F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, F.lit(WINDOW)))).drop("grams")
     scale = F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR)
     band, reached = F.floor(scale).cast("int"), F.sequence(F.floor(scale - 1e-6).cast("int"), F.floor(scale + 1 + 1e-6).cast("int"))
     # a long list is cut into parts, and every two parts meet once
     parts = F.ceil(F.col("m") / F.lit(LIST)).cast("int")
     some = some.withColumns({"__band": band, "__reached": reached, "__parts": parts}).withColumn("__part", F.pmod(F.xxhash64("rep"), F.col("__parts")).cast("int"))
-    cols = [F.col(c) for c in ("rep", "n", "at", "component", "bits", "__part")]
+    cols = [F.col(c) for c in ("rep", "n", "at", "component", "bits", "before", "__part")]
     every = F.sequence(F.lit(0), F.col("__parts") - 1)
-    larger = some.select("gram", F.col("__band").alias("__b"), F.explode(every).alias("__other"), *[c.alias(f"b{n}") for c, n in zip(cols, ("rep", "n", "at", "component", "bits", "part"))])
-    smaller = some.select("gram", F.explode("__reached").alias("__b"), *cols)
-    smaller = smaller.select("gram", "__b", *[c.alias(f"a{n}") for c, n in zip(cols, ("rep", "n", "at", "component", "bits", "part"))])
+    larger = some.select("gram", F.col("__band").alias("__b"), F.explode(every).alias("__other"), *[c.alias(f"b{n}") for c, n in zip(cols, ("rep", "n", "at", "component", "bits", "before", "part"))])
+    # the smaller set's first common n-gram leaves it as many places as the least intersection with a set of its size
+    short = some.filter((F.col("n") - F.col("at")) * (DENOMINATOR + NUMERATOR) >= F.col("n") * 2 * NUMERATOR)
+    smaller = short.select("gram", F.explode("__reached").alias("__b"), *cols)
+    smaller = smaller.select("gram", "__b", *[c.alias(f"a{n}") for c, n in zip(cols, ("rep", "n", "at", "component", "bits", "before", "part"))])
     # part p of the smaller side meets row p of each larger set's parts, so each pair meets once
     x = smaller.join(larger, (smaller["gram"] == larger["gram"]) & (smaller["__b"] == larger["__b"]) & (smaller["apart"] == larger["__other"]))
     x = x.filter(
         ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("arep") < F.col("brep")))) & (F.col("acomponent") != F.col("bcomponent"))
-        & _may(F.col("an"), F.col("bn"), F.col("aat"), F.col("bat")) & _near(_apart("abits", "bbits"), F.col("an"), F.col("bn"))
+        & _may(F.col("an"), F.col("bn"), F.col("aat"), F.col("bat"), first=True) & _near(_apart("abits", "bbits"), F.col("an"), F.col("bn"))
+        & ~F.arrays_overlap("abefore", "bbefore")
     )
     return x.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b")).distinct()
 

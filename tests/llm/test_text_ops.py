@@ -354,6 +354,32 @@ def test_coded_round_trip():
         assert (jaccard._decoded(jaccard._coded(x)) == x).all()
 
 
+def test_jaccard_pairs_meet_once(spark, monkeypatch):
+    """Near copies share most of their prefixes, but a pair gives a row at its first common n-gram only."""
+    rng = random.Random(5)
+    base, pairs = [f"w{i}" for i in range(300)], []
+    for k in range(12):
+        own = base.copy()
+        for at in rng.sample(range(300), 4):
+            own[at] = f"x{k}y{at}"
+        pairs.append((k, " ".join(own)))
+    found = jaccard.postings(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3))
+    ids = {r.node: r.doc_id for r in found.filter("__kind = 0").selectExpr("__node as node", "doc_id").collect()}
+    rows = jaccard.sets(found)[1]
+    some = jaccard.spanning(jaccard.prefixes(rows), None)
+    want = set()
+    for a in range(12):
+        for b in range(a + 1, 12):
+            x, y = ({tuple(t.split()[i : i + 5]) for i in range(296)} for t in (pairs[a][1], pairs[b][1]))
+            if 100 * len(x & y) >= 75 * len(x | y):
+                want.add((a, b))
+    assert len(want) > 20
+    linked = jaccard.verified(jaccard.rest_pairs(some, rows), rows).collect()
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in linked} == want
+    monkeypatch.setattr(type(some), "distinct", lambda self: self)
+    assert jaccard.rest_pairs(some, rows).count() <= 2 * 66
+
+
 # ---- personal data ------------------------------------------------------------------------
 
 
