@@ -45,16 +45,19 @@ CAPACITY = 2048
 END = 0
 #: Bands of best-fit decreasing that are told apart; shorter pieces are one band.
 BANDS = 12
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 800_000
+#: Words whose ids a Python worker remembers, in two generations of so many.
+REMEMBERED = 200_000
+#: Text bytes that are tokenized at once; the arrays of a chunk take about ten times as much.
+CHUNK_BYTES = 4 << 20
 #: Runs of equal pieces that are broadcast, 24 bytes each.
 MOST_RUNS = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _TOKENIZERS: dict[str, tuple] = {}
 PUNCTUATION = ".,!?;:"
 
 
 def _tokenizer(path: str):
-    """The tokenizer, the ids of known words, and which ids end a word."""
+    """The tokenizer, the ids of known words, those of the generation before, which ids end a word, and whether texts are cut at words."""
     if path not in _TOKENIZERS:
         import os
 
@@ -65,7 +68,7 @@ def _tokenizer(path: str):
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, {"": b""}, ends, cuts_at_words(path))
+        _TOKENIZERS[path] = (tokenizer, {"": b""}, {}, ends, cuts_at_words(path))
     return _TOKENIZERS[path]
 
 
@@ -89,7 +92,7 @@ def cuts_at_words(path: str) -> bool:
 
 def _learn_cores(path: str, cores: list[str]) -> None:
     """Encode words of letters in one go; each is one pre-token, so its last id ends a word."""
-    tokenizer, known, ends, _ = _tokenizer(path)
+    tokenizer, known, _, ends, _ = _tokenizer(path)
     for i in range(0, len(cores), 20_000):
         some = cores[i : i + 20_000]
         ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -117,34 +120,49 @@ def word_ids(path: str, found: list[str]) -> list[bytes]:
     runs of letters from runs of marks, and lower-cases; Latin letters up to
     U+024F but U+0130 lower-case alike everywhere and are composed already, so
     such words are encoded as letters and marks.
+
+    Only letters in lower case and marks are remembered, not their compounds.
+    Those that were used since the last generation ended are kept with the new
+    ones, so what comes once is forgotten and what comes often never is.
     """
-    known = _tokenizer(path)[1]
+    _, known, before, *_ = _tokenizer(path)
     if len(known) > REMEMBERED:
+        before.clear()
+        before.update(known)
         known.clear()
         known[""] = b""
-    cores, rest, split = {}, [], []
-    for w in found:
-        if w not in known:
+
+    def remembered(w: str) -> bool:
+        if w not in known and w in before:
+            known[w] = before[w]
+        return w in known
+
+    out: list = [known.get(w) for w in found]
+    cores, rest, split = {}, {}, []
+    for i, w in enumerate(found):
+        if out[i] is None:
             core = w.rstrip(PUNCTUATION)
             if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
-                low = core.lower()
-                if low not in known:
+                low, marks = core.lower(), w[len(core) :]
+                split.append((i, low, marks))
+                if not remembered(low):
                     cores[low] = None
-                if w != low:
-                    split.append((w, low, w[len(core) :]))
+                if not remembered(marks):
+                    rest[marks] = None
             else:
-                rest.append(w)
-    rest += {m for _, _, m in split if m not in known}
-    _learn(path, rest)
+                split.append((i, w, ""))
+                if not remembered(w):
+                    rest[w] = None
+    _learn(path, list(rest))
     _learn_cores(path, list(cores))
-    for w, low, marks in split:
-        known[w] = known[low] + known[marks]
-    return [known[w] for w in found]
+    for i, low, marks in split:
+        out[i] = known[low] + known[marks] if marks else known[low]
+    return out
 
 
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk of texts, and where each row's ids start (rows + 1)."""
-    if not _tokenizer(path)[3]:
+    if not _tokenizer(path)[-1]:
         found = [np.array(e.ids, "<u4") for e in _tokenizer(path)[0].encode_batch(texts.to_pylist(), add_special_tokens=False)]
         return np.concatenate([*found, np.empty(0, "<u4")]), np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
     values, codes, rows = words.numbered(texts, lower=False)
@@ -166,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text:
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in words.chunks(batch.column(1)):
+            for first, texts in words.chunks(batch.column(1), CHUNK_BYTES):
                 ids, rows = token_ids(tokenizer_path, texts)
                 out = []
                 for i in range(len(texts)):
@@ -178,9 +196,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text:
                         seen[length] += 1
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]], ["key", "piece", "start", "length", "crc", "part", "at"])
+            words.trim()
 
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, __part long, __at long"
-    return written(docs.select(key, text).mapInArrow(cut, schema), "pieces")
+    conf = docs.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(CHUNK_BYTES))  # a batch is held by the executor and the worker while its chunks are tokenized
+    try:
+        return written(docs.select(key, text).mapInArrow(cut, schema), "pieces")
+    finally:
+        conf.set(_BATCH, before)
 
 
 # ---- the rounds over classes --------------------------------------------------
@@ -306,6 +331,7 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[own], offset[own] = sequences[i] + rank[own] - first[i], offsets[i]
             kept = batch.drop_columns(["__rank"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
+        words.trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank")
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataweave.llm import words
 from strataweave.session import written
 
 ROUNDS = 200
@@ -291,6 +292,7 @@ def occurring(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
                     rows += [(ident.as_py(), k, e, g) for (k, e), g in sorted(genders(found_in(raw.as_py())).items()) if k != "initial"]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.string(), pa.string(), pa.string()))], ["id", "kind", "entity", "gender"])
+        words.trim()
 
     kind = docs.schema[key].dataType.simpleString()
     return written(docs.select(key, text).mapInArrow(find, f"id {kind}, kind string, entity string, gender string"), "pii-found")

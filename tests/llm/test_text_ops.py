@@ -321,6 +321,32 @@ def test_other_tokenizers_get_whole_texts():
             assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_remembered_words_are_bounded_and_often_used_ones_stay(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    monkeypatch.setattr(packing, "_TOKENIZERS", {})
+    learned, learn = [], packing._learn_cores
+    monkeypatch.setattr(packing, "_learn_cores", lambda path, cores: (learned.extend(cores), learn(path, cores)))
+    often = ["alpha", "Beta,", "gamma"]
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    for turn in range(20):
+        packing.token_ids(tokenizer_path(), pa.array([" ".join([*often, *("q" + letters(1000 * turn + i) for i in range(150))])]))
+        _, known, *before, _, _ = packing._tokenizer(tokenizer_path())
+        assert len(known) + sum(map(len, before)) <= 2 * (400 + 160)
+    assert [learned.count(w) for w in ("alpha", "beta", "gamma")] == [1, 1, 1]
+
+
+def test_batches_are_bounded_and_the_setting_is_put_back(spark, monkeypatch):
+    from strataweave.llm import packing as module
+
+    rows = [(i, f"word{i} " * 40_000) for i in range(24)]  # about 7 MB
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    set_, before = [], spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(module, "written", lambda df, label: set_.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or df)
+    module.pieces(df, tokenizer_path())
+    assert int(set_[0]) <= 8 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 # ---- near duplicates --------------------------------------------------------------------
 
 
