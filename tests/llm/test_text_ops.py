@@ -335,6 +335,44 @@ def test_remembered_words_are_bounded_and_often_used_ones_stay(monkeypatch):
     assert [learned.count(w) for w in ("alpha", "beta", "gamma")] == [1, 1, 1]
 
 
+def test_known_words_take_no_python_step_and_few_bytes(monkeypatch):
+    import gc
+    import sys
+    import tracemalloc
+
+    monkeypatch.setattr(packing, "_TOKENIZERS", {})
+    packing._tokenizer(tokenizer_path())
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    texts = pa.array([" ".join("Q" + letters(1000 * k + i) + ".,"[: i % 3] for i in range(1000)) for k in range(1, 21)])
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    first = packing.token_ids(tokenizer_path(), texts)[0].tobytes()
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before - len(first)
+    tracemalloc.stop()
+    assert held <= 80 * 20_000
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        again = packing.token_ids(tokenizer_path(), texts)[0]
+    finally:
+        sys.setprofile(None)
+    assert again.tobytes() == first and len(calls) < 2000
+
+
+def test_learned_letters_are_the_tokenizers():
+    """Each letter that is encoded by the model alone, in both cases, with and without marks."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    found = [chr(c) for c in range(128, 0x260) if chr(c).isalpha()]
+    found += [f"a{c}b{c}." for c in found] + [f"{c}," for c in found] + ["'s", "x's", ".", "", "a\u0301", "<|endoftext|>"]
+    ids, at = packing.token_ids(tokenizer_path(), pa.array(found))
+    for i, x in enumerate(found):
+        assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_batches_are_bounded_and_the_setting_is_put_back(spark, monkeypatch):
     from strataweave.llm import packing as module
 
