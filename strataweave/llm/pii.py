@@ -37,6 +37,7 @@ import hmac
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -330,6 +331,26 @@ def settled(found: DataFrame, secret: bytes) -> DataFrame:
     raise ValueError(f"after {ROUNDS} draws two entities still share a surrogate")
 
 
+SWAPPED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("spans", T.StringType())])
+
+
+def _swapper(secret: bytes):
+    def swap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Only texts that may hold something become Python's; the others stay in the batch they came in."""
+        for texts, more in batches:
+            may = np.array(_may(texts), bool)
+            n, spans, new = np.zeros(len(texts), np.int64), [""] * len(texts), []
+            for i in np.flatnonzero(may).tolist():
+                told = {(d["kind"], d["entity"]): (d["attempt"], d["is"]) for d in more[i].as_py() or ()}
+                value, n[i], spans[i] = replaced(texts[i].as_py(), told, secret)
+                new.append(value)
+            out = pc.replace_with_mask(texts, pa.array(may), pa.array(new, texts.type))
+            yield pa.StructArray.from_arrays([out, pa.array(n), pa.array(spans, pa.string())], ["text", "n", "spans"])
+        words.trim()
+
+    return swap
+
+
 def with_surrogates(docs: DataFrame, secret: bytes, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the text replaced under the key ``secret``, and __pii_n and __pii_spans."""
     found = occurring(docs, text, key)
@@ -337,22 +358,8 @@ def with_surrogates(docs: DataFrame, secret: bytes, text: str = "text", key: str
     redrawn = found.join(told, ["kind", "entity"]).filter((F.col("attempt") > 0) | (F.col("gender") != F.col("is")))
     redrawn = redrawn.groupBy(F.col("id").alias("__pii_id")).agg(F.collect_set(F.struct("kind", "entity", "attempt", "is")).alias("__pii_redrawn"))
     redrawn = written(redrawn, "pii-redrawn")
-    out_type = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("spans", T.StringType())])
-
-    def swap(texts: pa.Array, more: pa.Array) -> pa.Array:
-        new, n, spans = [], [], []
-        for raw, may, drawn in zip(texts, _may(texts), more):
-            value = raw.as_py()
-            if may:
-                t, k, s = replaced(value, {(d["kind"], d["entity"]): (d["attempt"], d["is"]) for d in drawn.as_py() or ()}, secret)
-            else:
-                t, k, s = value, 0, ""
-            new.append(t)
-            n.append(k)
-            spans.append(s)
-        return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(n, pa.int64()), pa.array(spans, pa.string())], ["text", "n", "spans"])
 
     rows = docs.join(redrawn, F.col(key).eqNullSafe(F.col("__pii_id")), "left")
-    rows = rows.withColumn("__pii", F.arrow_udf(swap, out_type)(F.col(text), F.col("__pii_redrawn")))
+    rows = rows.withColumn("__pii", F.arrow_udf(_swapper(secret), SWAPPED)(F.col(text), F.col("__pii_redrawn")))
     rows = rows.withColumns({text: F.col("__pii.text"), "__pii_n": F.col("__pii.n"), "__pii_spans": F.col("__pii.spans")})
     return rows.drop("__pii", "__pii_id", "__pii_redrawn")

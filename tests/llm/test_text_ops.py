@@ -385,6 +385,23 @@ def test_batches_are_bounded_and_the_setting_is_put_back(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
+def test_surrogates_leave_texts_without_any_in_arrow_and_trim(monkeypatch):
+    import tracemalloc
+
+    trimmed = []
+    monkeypatch.setattr(pii.words, "trim", lambda: trimmed.append(1))
+    texts = pa.array(["plain words " * 80_000] * 8 + [None, "", "write to ann.lee@example.org now"])
+    more = pa.nulls(len(texts), pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("attempt", pa.int32()), ("is", pa.string())])))
+    tracemalloc.start()
+    (got,) = list(pii._swapper(b"key")(iter([(texts, more)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    new, n, spans = (got.field(f) for f in ("text", "n", "spans"))
+    assert new.slice(0, 10).equals(texts.slice(0, 10)) and n.to_pylist() == [0] * 10 + [1]
+    assert (new[10].as_py(), n[10].as_py(), spans[10].as_py()) == pii.replaced(texts[10].as_py(), {}, b"key")
+    assert peak < 1 << 20 and trimmed == [1]
+
+
 # ---- near duplicates --------------------------------------------------------------------
 
 
