@@ -65,6 +65,19 @@ def test_rules(name, change):
         manifests.LAYOUTS[name].encode(ALL[name] | change)
 
 
+def test_checksums_of_many_records_are_computed_together(monkeypatch):
+    calls, many = [], manifests.crc32c_many
+    monkeypatch.setattr(manifests, "crc32c_many", lambda data: calls.append(len(data)) or many(data))
+    values = [JOB | {"attempts": n + 1, "payload": b"p" * (n % 7)} for n in range(100)]
+    data = manifests.JOB.encode_many(values)
+    assert calls == [100, 100] and data == [manifests.JOB.encode(v) for v in values]
+    calls.clear()
+    assert manifests.JOB.decode_many(data) == values and calls == [100, 100]
+    bad = [data[n][:k] + bytes([data[n][k] ^ 0x40]) + data[n][k + 1 :] for n, k in enumerate((0, 1, 12, 33, 52))] + [data[5] + b"x", data[6][:40], data[7]]
+    want = ["fixed bytes", "state", "checksum", "kind is too large", "checksum", "trailing bytes", "truncated", values[7]]
+    assert [str(x) if isinstance(x, FormatError) else x for x in manifests.JOB.decode_many(bad)] == want
+
+
 def test_columns(spark):
     data = [(n, manifests.LAYOUTS["snapshot"].encode(SNAPSHOT)[: 50 if n else None]) for n in (0, 1)] + [(2, None)]
     got = spark.createDataFrame(data, "n int, d binary").select("n", manifests.decoded(F.col("d"), manifests.SNAPSHOT).alias("x")).orderBy("n").collect()

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,27 @@ def test_crc32c_vector():
     assert crc.crc32c(b"") == 0
 
 
+def test_crc32c_of_any_length_alone_and_among_others():
+    def plain(data, r=0xFFFFFFFF):
+        for b in data:
+            r = int(crc._BYTE[(r ^ b) & 0xFF]) ^ (r >> 8)
+        return r ^ 0xFFFFFFFF
+
+    rng = random.Random(5)
+    values = [rng.randbytes(n) for n in (*range(12), 63, 64, 65, 255, 256, 257, 511, 512, 513, 2048, 65535, 65536, 65537, 140_000)]
+    want = [plain(v) for v in values]
+    assert crc.crc32c_many(values).tolist() == want == [crc.crc32c(v) for v in values]
+    assert [crc.crc32c_many([v] * 2).tolist() for v in values] == [[w] * 2 for w in want]
+    assert crc.crc32c_many([]).tolist() == []
+
+
+def test_crc32c_of_a_short_value_costs_no_fixed_number_of_steps():
+    began = time.perf_counter()
+    for n in range(2000):
+        crc.crc32c(n.to_bytes(46, "big"))
+    assert time.perf_counter() - began < 1  # 256 steps over all lanes, however few, took 2.4 ms each
+
+
 def test_native_ids(spark):
     p = F.lit(b"hello\n")
     r = spark.range(1).select(identity.native_oid(p).alias("a"), identity.native_oid(p, algorithm="sha256").alias("b"), identity.content_id(p).alias("c"), identity.content_id(p, "tree").alias("d")).first()
