@@ -9,6 +9,8 @@ from strataweave.session import written
 
 # Limits of a mark.
 MAX_ROOTS, MAX_REFERENCES, MAX_OBJECTS = 4_096, 16_777_216, 8_388_608
+#: No limits: for a mark that is to be whole however large it is.
+UNBOUNDED = {"max_roots": None, "max_references": None, "max_objects": None}
 
 
 def reachable(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> DataFrame:
@@ -34,16 +36,21 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
-def mark(edges: DataFrame, roots: DataFrame, max_roots: int = MAX_ROOTS, max_references: int = MAX_REFERENCES, max_objects: int = MAX_OBJECTS) -> DataFrame:
+def mark(edges: DataFrame, roots: DataFrame, max_roots: int | None = MAX_ROOTS, max_references: int | None = MAX_REFERENCES, max_objects: int | None = MAX_OBJECTS) -> DataFrame:
     """The reachable nodes, or an error with no partial result when a limit is passed.
 
     References count as they are queued: the roots, and all edges out of
-    marked nodes, repeated ones too.
+    marked nodes, repeated ones too.  The limits are what one process may hold
+    in a collection; a mark is tables here and needs none, so each may be None.
     """
-    found = written(reachable(edges, roots), "marked")
+    found = reachable(edges, roots)
+    limits = {"roots": max_roots, "references": max_references, "objects": max_objects}
+    if all(most is None for most in limits.values()):
+        return found
+    found = written(found, "marked")
     told = totals(edges, roots, found).first()
-    for name, most in (("roots", max_roots), ("references", max_references), ("objects", max_objects)):
-        if told[name] > most:
+    for name, most in limits.items():
+        if most is not None and told[name] > most:
             raise ValueError(f"mark has {told[name]} {name}; the limit is {most}")
     return found
 

@@ -143,7 +143,7 @@ MARKED = f"""(select 'n' || c_nationkey as node, 0 as level from {READY} union a
 
 @query("gc_mark_set", f"select * from {MARKED}")
 def gc_mark_set(spark, sf_dir):
-    return graph.mark(entries(spark, sf_dir).select("src", "dst"), ready_roots(spark, sf_dir))
+    return graph.mark(entries(spark, sf_dir).select("src", "dst"), ready_roots(spark, sf_dir), **graph.UNBOUNDED)
 
 
 @query("gc_sweep_unmarked", f"select c_custkey from customer where 'c' || c_custkey not in (select node from {MARKED})")

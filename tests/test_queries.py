@@ -1,5 +1,6 @@
 import pytest
 
+from strataweave.operators import graph
 from strataweave.plans import registry
 from tests.oracle import assert_same
 
@@ -11,6 +12,12 @@ def test_same_as_oracle(spark, name):
     assert_same(registry.QUERIES[name](spark, SF), registry.ORACLES[name], SF)
 
 
+@pytest.mark.parametrize("name", ["gc_mark_set"])
+def test_marks_are_whole_beyond_the_limits_of_a_process(spark, monkeypatch, name):
+    monkeypatch.setattr(graph.mark, "__defaults__", (0, 5, 5))
+    assert_same(registry.QUERIES[name](spark, SF), registry.ORACLES[name], SF)
+
+
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
