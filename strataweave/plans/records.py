@@ -133,7 +133,7 @@ with m as (select node, sha256(node) as cid, 148 + length(node) as used from {MA
 select node, record_length, (coalesce(sum(record_length) over (order by cid rows between unbounded preceding and 1 preceding), 0) // 32768)::bigint as chunk from r""")
 def gc_run(spark, sf_dir):
     """The marked nodes in content order, and the chunk of the new generation that each goes to."""
-    live = graph.mark(entries(spark, sf_dir).select("src", "dst"), ready_roots(spark, sf_dir)).select("node", F.sha2(F.col("node").cast("binary"), 256).alias("cid"))
+    live = graph.mark(entries(spark, sf_dir).select("src", "dst"), ready_roots(spark, sf_dir), **graph.UNBOUNDED).select("node", F.sha2(F.col("node").cast("binary"), 256).alias("cid"))
     live = live.withColumn("record_length", identity.record_length(F.octet_length("node")))
     out = ordered.running_sum_by_digest(live, "cid", F.col("record_length"), "before")
     return out.select("node", "record_length", F.floor(F.col("before") / 32768).alias("chunk"))

@@ -12,7 +12,7 @@ def test_same_as_oracle(spark, name):
     assert_same(registry.QUERIES[name](spark, SF), registry.ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", ["gc_mark_set"])
+@pytest.mark.parametrize("name", ["gc_mark_set", "gc_run"])
 def test_marks_are_whole_beyond_the_limits_of_a_process(spark, monkeypatch, name):
     monkeypatch.setattr(graph.mark, "__defaults__", (0, 5, 5))
     assert_same(registry.QUERIES[name](spark, SF), registry.ORACLES[name], SF)
