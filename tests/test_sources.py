@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import identity, objects
 from strataweave.operators import graph
-from strataweave.sources import catalog, repository
+from strataweave.sources import catalog, chunks, repository
 
 
 def git(path, *words):
@@ -81,3 +81,16 @@ def test_catalog(spark, tmp_path):
     c.delete_repository(b"r")
     assert c.read("repo_snapshots").isEmpty() and c.read("oid_aliases").count() == 4
     c.validate()
+
+
+def test_files_of_several_chunks_are_encoded_together_and_payload_sums_come_from_decoding(monkeypatch):
+    groups = [([chunks.object_record(bytes([n]) * k) for k in range(n * 7, n * 7 + 9)], n) for n in range(4)]
+    calls, many = [], chunks.crc32c_many
+    monkeypatch.setattr(chunks, "crc32c_many", lambda data: calls.append(len(data)) or many(data))
+    files = chunks.chunk_files(groups, 3)
+    assert calls == [72, 4] and files == [chunks.chunk_file(records, 3, n) for records, n in groups]
+    for data, (records, _) in zip(files, groups):
+        *found, end = chunks.scan_file(data, sealed=True, strict=True)
+        assert [r for _, r in found] == records and end.records == 9
+        assert [r.payload_crc32c for _, r in found] == many([r.payload for r in records]).tolist()
+        assert chunks.decode_record(data, chunks.CHUNK_HEADER)[0].payload_crc32c == many([records[0].payload])[0]
