@@ -94,3 +94,15 @@ def test_files_of_several_chunks_are_encoded_together_and_payload_sums_come_from
         assert [r for _, r in found] == records and end.records == 9
         assert [r.payload_crc32c for _, r in found] == many([r.payload for r in records]).tolist()
         assert chunks.decode_record(data, chunks.CHUNK_HEADER)[0].payload_crc32c == many([records[0].payload])[0]
+
+
+def test_files_are_built_from_a_stream_of_rows_without_a_group_each(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "BATCH_BYTES", 2000)
+    data = [(None if n % 5 == 4 else f"s{n % 5}", n % 3, None if n == 7 else 100 - n, bytes([n]) * (n * 3)) for n in range(60)]
+    built = chunks.build(spark.createDataFrame(data, "s string, c int, o int, p binary"), "s", "c", "o", "p")
+    want = {}
+    for s, c, _, p in sorted(data, key=lambda r: (r[2] is None, r[2])):
+        want.setdefault((s, c), []).append(chunks.object_record(p))
+    assert sorted((r.path, bytes(r.content)) for r in built.collect()) == sorted((f"{s}/{c:020d}.sealed", chunks.chunk_file(x, 1, c)) for (s, c), x in want.items())
+    assert built.filter("false").count() == 0
+    assert "FlatMapGroups" not in built._jdf.queryExecution().toString()
