@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,23 @@ def test_checksums_of_many_records_are_computed_together(monkeypatch):
     assert [str(x) if isinstance(x, FormatError) else x for x in manifests.JOB.decode_many(bad)] == want
 
 
+def test_columns_of_records_agree_with_values_and_leave_unsound_ones_to_them():
+    kind = pa.struct([("value", manifests.JOB.type), ("error", pa.string())])
+    values = [JOB | {"attempts": n + 1, "payload": b"p" * (n % 7), "kind": b"k" * (n % 3 + 1)} | ({"state": 1, "last_error": None} if n % 2 else {}) for n in range(50)]
+    for few in (values, values[:1], values[1:2]):
+        rows, data = pa.array([None, *few], manifests.JOB.type).slice(1), manifests.JOB.encode_many(few)
+        assert manifests.JOB.encode_columns(rows).to_pylist() == data
+        assert manifests.JOB.decode_columns(pa.array([b"before", *data, b"after"]).slice(1, len(few))) == pa.array([{"value": v, "error": None} for v in few], kind)
+    bad = [{"last_error": b""}, {"state": 3}, {"last_error": None}, {"attempts": 0}, {"state": 5}, {"kind": b""}, {"kind": None}, {"id": ID[1:]}, {"id": None}, {"attempts": 1 << 32}, {"attempts": -1}, {"attempts": None}]
+    for change in bad:
+        assert manifests.JOB.encode_columns(pa.array([*values[:3], JOB | change], manifests.JOB.type)) is None
+    data = manifests.JOB.encode(JOB)
+    for n in range(len(data)):
+        for x in (data[:n], data[:n] + bytes([data[n] ^ 1 << n % 8]) + data[n + 1 :], data[:n] + b"\xff" + data[n + 1 :], data + data[: n + 1]):
+            assert x == data or manifests.JOB.decode_columns(pa.array([data, x])) is None
+    assert manifests.SNAPSHOT.decode_columns(pa.array([data])) is None
+
+
 def test_columns(spark):
     data = [(n, manifests.LAYOUTS["snapshot"].encode(SNAPSHOT)[: 50 if n else None]) for n in (0, 1)] + [(2, None)]
     got = spark.createDataFrame(data, "n int, d binary").select("n", manifests.decoded(F.col("d"), manifests.SNAPSHOT).alias("x")).orderBy("n").collect()
